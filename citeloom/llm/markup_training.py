@@ -13,7 +13,7 @@ import numpy as np
 
 from citeloom.llm.markup import CODE, FEATURES, FORMULA, HEADING, LIST, MARKUP, PROSE, WEIGHTS, Labeller, leaves, unescaped, vectors
 
-DOCUMENTS, HIDDEN, EPOCHS, BATCH, RATE = 14_000, 20, 8, 48, 4e-3
+DOCUMENTS, HIDDEN, EPOCHS, BATCH, RATE = 24_000, 20, 10, 48, 4e-3
 SYLLABLES = "ba be bi bo bu da de di do du fa fe ga go ka ke ki la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se si so ta te ti to va ve vi zo".split()
 Piece = tuple[str, int]
 
@@ -96,7 +96,9 @@ class Maker:
             if self.r.random() < rate:
                 out += [(self.words(1, 4) + self.r.choice([" ", " ", "-"]), PROSE), *self.inline(kind), (self.r.choice([" ", "-", ""]), PROSE)]
             out += self.sentence(0.06)
-        return out
+        if self.r.random() < 0.4:
+            out += [(self.words(1, 4) + " ", PROSE), *self.inline(kind), (self.r.choice(["", "", "."]), PROSE)]
+        return [*self.inline(kind), (" ", PROSE), *out] if self.r.random() < 0.3 else out
 
     def formula(self, kind: str) -> Piece:
         m, r = self.math(), self.r
@@ -179,7 +181,7 @@ class Maker:
             kind = r.choice("tex tex md wiki html jats".split())
             out: list[Piece] = [(self.words(1, 4) + r.choice([" ", " ", "-"]), PROSE)] if r.random() < 0.8 else []
             inner = [self.formula("tex")] if r.random() < 0.3 else self.inline(kind)
-            out = [*out, *inner, (r.choice([" ", "-", ": "]) + self.words(1, 5), PROSE)]
+            out = [*out, *inner, (r.choice([" ", "-", ": "]) + self.words(1, 5), PROSE)] if r.random() < 0.75 else [*out, *inner]
             if r.random() < 0.35:
                 out.append((" " + self.lookalike(), PROSE))
             if r.random() < 0.2:

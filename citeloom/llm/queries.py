@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import layout_copies, leakage, lookalike, packing, sentences
+from citeloom.llm import layout_copies, leakage, lookalike, markup, packing, sentences
 from citeloom.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.found(table(spark, d, "crossref_raw"), table(spark, d, "bib_references"), table(spark, d, "scan_sentences"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_texts(table(spark, d, "crossref_raw"), table(spark, d, "bib_references"), table(spark, d, "scan_sentences"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return layout_copies.found(table(spark, d, "bib_references"), table(spark, d, "pdf_ref_entries"))
 
@@ -46,7 +54,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p4_found, p4_copy_counts, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_canonical)
+    named = (p2_found, p2_clean, p4_found, p4_copy_counts, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_canonical)
     return {f.__name__: f for f in named}
 
 
