@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import layout_copies, leakage, lookalike, markup, packing, sentences
+from citeloom.llm import entity_match, layout_copies, leakage, lookalike, markup, packing, sentences
 from citeloom.session import table
 
 
@@ -29,6 +29,14 @@ def p4_copy_counts(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("src", "keep_id").agg((F.count("*") + 1).alias("copies"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return entity_match.found(table(spark, d, "bib_references"), table(spark, d, "registry_works"))
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return entity_match.match(table(spark, d, "bib_references"), table(spark, d, "registry_works"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.found(table(spark, d, "scan_sentences"), table(spark, d, "nli_results"))
 
@@ -54,7 +62,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p2_found, p2_clean, p4_found, p4_copy_counts, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_canonical)
+    named = (p2_found, p2_clean, p4_found, p4_copy_counts, p5_found, p5_matches, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_canonical)
     return {f.__name__: f for f in named}
 
 
