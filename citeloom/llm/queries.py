@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import entity_match, layout_copies, leakage, lookalike, markup, packing, sentences
+from citeloom.llm import entity_match, layout_copies, leakage, lookalike, markup, names, packing, sentences
 from citeloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.found(table(spark, d, "bib_references"), table(spark, d, "pdf_ref_entries"), table(spark, d, "sneaked_matches"))
+
+
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(names.typed_names(table(spark, d, "bib_references"), table(spark, d, "pdf_ref_entries"), table(spark, d, "sneaked_matches")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.found(table(spark, d, "crossref_raw"), table(spark, d, "bib_references"), table(spark, d, "scan_sentences"))
 
@@ -62,7 +70,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p2_found, p2_clean, p4_found, p4_copy_counts, p5_found, p5_matches, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_canonical)
+    named = (p1_found, p1_entities, p2_found, p2_clean, p4_found, p4_copy_counts, p5_found, p5_matches, p6_found, p7_found, p7_containers, p8_found, p9_found, p9_canonical)
     return {f.__name__: f for f in named}
 
 
