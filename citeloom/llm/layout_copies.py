@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import attach, keep
+from citeloom.session import keep
 
 SPACE = r"[\s\u00a0\u2000-\u200d\u202f\u2060\u3000\ufeff\u00ad]+"
 NOT_LETTERS = r"[^\p{L}\p{M}\p{N}]+"
@@ -22,6 +22,10 @@ DOI_LEAD = r"(?i)^\s*(?:(?:https?\s*:\s*/\s*/\s*)?(?:dx\s*\.\s*)?(?:www\s*\.\s*)
 DOI_IN_TEXT = r"(?i)(?:https?\s*:\s*/\s*/\s*(?:dx\s*\.\s*)?doi\s*\.\s*org\s*/\s*|(?<![\p{L}\p{N}])doi\s*:?\s*)?(?<![\p{L}\p{N}])10\.\d{4,9}\s*/\s*[^\s\"<>,;]+"
 
 
+#: letters that no DOI prefix or resolver address holds, and digits
+HISTOGRAM = "aenul0123456789"
+
+
 def letters(text: Column) -> Column:
     """Letters and digits only, in lower case."""
     return F.regexp_replace(F.lower(text), NOT_LETTERS, "")
@@ -33,9 +37,10 @@ def plain_doi(doi: Column) -> Column:
     return letters(bare)
 
 
-def histogram(text: Column) -> Column:
-    """A hash of the length and of the letter histogram of a text of letters."""
-    return F.xxhash64(F.length(text), F.array_sort(F.split(text, "")))
+def histogram(text: Column, marks: str = HISTOGRAM) -> Column:
+    """A hash of how often each mark stands in the text, in either case."""
+    low = F.lower(text)
+    return F.xxhash64(*(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in marks))
 
 
 def several(rows: DataFrame, key: str) -> DataFrame:
@@ -44,22 +49,32 @@ def several(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(classes, key, "left_semi")
 
 
-def pairs(keyed: DataFrame, hot: int = 100_000) -> DataFrame:
-    """(keep_id, copy_id, copies) of rows (id, key); copies counts the group's other rows."""
+def pairs(keyed: DataFrame) -> DataFrame:
+    """(keep_id, copy_id, copies) of rows (id, key); copies counts the group's other rows.
+
+    Groups are counted with partial sums before the shuffle; the join back to the rows has
+    one row per group on its other side, so adaptive execution can split a hot group.
+    """
+    keyed = keep(keyed)  # counted first, then joined
     groups = keyed.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("_n")).where("_n > 1")
-    joined = attach(keyed, groups, "key", "_n", hot)
+    joined = keyed.join(groups, "key")
     return joined.where("id > keep_id").select("keep_id", F.col("id").alias("copy_id"), (F.col("_n") - 1).alias("copies"))
 
 
+def digest(*parts: Column | str) -> Column:
+    """A 128-bit key."""
+    return F.unhex(F.md5(F.concat_ws("\n", *parts)))
+
+
 def bib_copies(refs: DataFrame) -> DataFrame:
     """Copies among typed references: equal title and DOI but for layout.
 
     A missing DOI equals only a missing one; references without a title are no case.
     """
-    named = refs.select(F.col("ref_id").alias("id"), letters(F.col("title")).alias("t"), F.col("doi"))
-    named = named.where(F.col("t") != "").select("id", "t", plain_doi(F.col("doi")).alias("d"))
-    classed = several(named.withColumn("inv", F.xxhash64(histogram(F.col("t")), F.length("d"))), "inv")
-    return pairs(classed.select("id", F.sha2(F.concat_ws("\n", "t", "d"), 256).alias("key")))
+    named = refs.select(F.col("ref_id").alias("id"), "title", "doi").where(F.trim("title") != "")
+    classed = several(named.withColumn("inv", histogram(F.col("title"), f"{HISTOGRAM}diopt")), "inv")
+    keyed = classed.select("id", letters(F.col("title")).alias("t"), plain_doi(F.col("doi")).alias("d"))
+    return pairs(keyed.where("t <> ''").select("id", digest("t", "d").alias("key")))
 
 
 # The five layouts, told apart by where the year stands:
@@ -69,13 +84,8 @@ def bib_copies(refs: DataFrame) -> DataFrame:
 #   D  year. authors, "title," venue volume, issue, pages.
 #   E  authors: title [year] venue; volume/issue, pages
 # In all but C the fields stand in the same order once year and DOI are taken out.
-YEAR = {
-    "D": r"^\W*((?:1[5-9]|20)\d\d[a-z]?)\s*\.\s",
-    "A": r"\(\s*((?:1[5-9]|20)\d\d[a-z]?)\s*\)\s*\.",
-    "E": r"\[\s*((?:1[5-9]|20)\d\d[a-z]?)\s*\]",
-    "C": r",\s*((?:1[5-9]|20)\d\d[a-z]?)\s*(?=;)",
-    "B": r",\s*((?:1[5-9]|20)\d\d[a-z]?)\s*\.?\s*$",
-}
+_Y = r"(?:1[5-9]|20)\d\d[a-z]?"
+YEAR = rf"^\W*{_Y}\s*\.\s|\(\s*{_Y}\s*\)\s*\.|\[\s*{_Y}\s*\]|,\s*{_Y}\s*;|,\s*{_Y}\s*\.?\s*$"
 
 
 def _without_first(text: Column, found: Column) -> Column:
@@ -91,7 +101,7 @@ def _sequence(text: Column) -> Column:
 
 
 def entry_fields(entries: DataFrame) -> DataFrame:
-    """(id, layout, year, doi, rest, head): the parts of a reference text that can move.
+    """(id, year, doi, rest, head): the parts of a reference text that can move.
 
     rest is the text without year and DOI; head, in layout C only, what precedes the year.
     """
@@ -99,15 +109,9 @@ def entry_fields(entries: DataFrame) -> DataFrame:
     e = e.withColumn("d", F.regexp_extract("s", DOI_IN_TEXT, 0))
     # a DOI at the end takes along no closing period
     e = e.withColumn("d", F.regexp_replace("d", r"[.\s]+$", "")).withColumn("s", F.trim(_without_first(F.col("s"), F.col("d"))))
-    layout = F.lit("?")
-    found = F.lit("")
-    for name, pattern in reversed(YEAR.items()):
-        hit = F.col("s").rlike(pattern)
-        layout = F.when(hit, F.lit(name)).otherwise(layout)
-        found = F.when(hit, F.regexp_extract("s", pattern, 0)).otherwise(found)
-    e = e.withColumn("layout", layout).withColumn("y", found)
-    head = F.when(F.col("layout") == "C", F.substring("s", F.lit(1), F.instr("s", F.col("y")) - 1))
-    return e.select("id", "layout", letters(F.col("y")).alias("year"), plain_doi(F.col("d")).alias("doi"), _without_first(F.col("s"), F.col("y")).alias("rest"), head.alias("head"))
+    e = e.withColumn("y", F.regexp_extract("s", YEAR, 0))
+    head = F.when(F.col("y").endswith(";"), F.substring("s", F.lit(1), F.instr("s", F.col("y")) - 1))
+    return e.select("id", letters(F.col("y")).alias("year"), plain_doi(F.col("d")).alias("doi"), _without_first(F.col("s"), F.col("y")).alias("rest"), head.alias("head"))
 
 
 def entry_copies(entries: DataFrame, id_col: str = "entry_id", raw_col: str = "raw") -> DataFrame:
@@ -118,13 +122,11 @@ def entry_copies(entries: DataFrame, id_col: str = "entry_id", raw_col: str = "r
     key holds, else the records keep a key of their own.
     """
     texts = entries.select(F.col(id_col).alias("id"), F.col(raw_col).alias("raw")).where(F.trim(raw_col) != "")
-    bare = F.regexp_replace(letters(F.regexp_replace("raw", r"(?i)https?\s*:\s*/\s*/\s*(?:dx\s*\.\s*)?doi\s*\.\s*org\s*/|(?<![\p{L}\p{N}])doi(?![\p{L}\p{N}])", "")), " ", "")
-    members = several(texts.withColumn("inv", histogram(bare)), "inv")
+    members = several(texts.withColumn("inv", histogram(F.col("raw"))), "inv")
     f = keep(entry_fields(members))
-    fixed = [F.col("year"), F.col("doi")]
-    key = lambda text: F.sha2(F.concat_ws("\n", *fixed, text), 256)
-    straight = f.where("layout <> 'C'").select("id", key(_sequence(F.col("rest"))).alias("key"))
-    turned = f.where("layout = 'C'").withColumn("tail", F.substring("rest", F.length("head") + 1, F.length("rest")))
+    key = lambda text: digest("year", "doi", text)
+    straight = f.where("head IS NULL").select("id", key(_sequence(F.col("rest"))).alias("key"))
+    turned = f.where("head IS NOT NULL").withColumn("tail", F.substring("rest", F.length("head") + 1, F.length("rest")))
     parts = turned.withColumn("p", F.split("head", r"(?<=\.) ")).withColumn("own", key(_sequence(F.concat_ws(" ", F.lit("C:"), "rest"))))
     # one row per distinct text: equal texts are turned once
     once = parts.groupBy("own").agg(F.min(F.struct("year", "doi", "p", "tail")).alias("x")).select("own", "x.*")
