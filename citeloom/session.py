@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,16 +32,3 @@ def cut(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Hold df for several uses; what is lost with an executor is computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def attach(rows: DataFrame, per_key: DataFrame, key: str, count: str, hot: int = 100_000, salts: int = 64) -> DataFrame:
-    """Inner join of rows with per_key, which has one row per key and its number of rows.
-
-    Keys with more than `hot` rows are joined on a further salt, so that no task gets a
-    whole hot group; the keyed side is repeated `salts` times for those keys only.
-    """
-    spread = F.when(F.col(count) > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))
-    keyed = per_key.withColumn("_salt", F.explode(spread))
-    cold = rows.withColumn("_try", F.array(F.lit(-1), (F.rand(7) * salts).cast("int")))
-    # a row meets its key either with salt -1 (cold) or with its own salt (hot), never both
-    return cold.withColumn("_salt", F.explode("_try")).drop("_try").join(keyed, [key, "_salt"]).drop("_salt")
