@@ -11,6 +11,8 @@ from citeloom.functions.similarity import jaro_winkler
 from citeloom.operators import references as R
 from citeloom.plans.registry import query
 from citeloom.session import table
+from citeloom.sources import files
+from citeloom.sources.registry import REGISTRIES
 
 # SQL that several checks share
 KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
@@ -295,3 +297,19 @@ def author_year_markers(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_kind, source, count(*) AS n, CAST(grouping(doc_kind, source) AS BIGINT) AS level FROM documents GROUP BY ROLLUP (doc_kind, source)")
 def split_summary_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").rollup("doc_kind", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+@query(
+    """SELECT ref_id, '@' || lower(entry_type) || '{' || cite_key || ',' || chr(10) || concat_ws(',' || chr(10), """
+    + ", ".join(f"CASE WHEN NULLIF(trim({n}), '') IS NOT NULL THEN '  {n} = {{' || {n} || '}}' END" for n in ("title", "author", "year", "journal", "booktitle", "volume", "pages", "doi", "url"))
+    + """) || chr(10) || '}' AS entry FROM bib_references"""
+)
+def bibtex_sink(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "bib_references")
+    return files.bibtex_text(r, "ref_id").drop("cite_key")
+
+
+@query("SELECT name AS registry, domain, id_type FROM (VALUES " + ", ".join(f"('{n}', '{d}', '{i}')" for n, (d, ids, _) in REGISTRIES.items() for i in ids.split() or [""]) + ") t(name, domain, id_type) WHERE id_type <> ''")
+def registry_catalog(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(n, dom, i) for n, (dom, ids, _) in REGISTRIES.items() for i in ids.split()]
+    return spark.createDataFrame(rows, "registry string, domain string, id_type string")
