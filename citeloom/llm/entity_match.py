@@ -91,7 +91,7 @@ def distance(a: str, b: str, most: int) -> int:
             row[j] = most + 1
         for j in range(min(len(b), i + most + 1) + 1, len(b) + 1):
             row[j] = most + 1
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 class Title:

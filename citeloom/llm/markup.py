@@ -242,7 +242,10 @@ def render(text: str, seq: list[Leaf], labels: np.ndarray) -> str:
     """Clean text: headings, list items, code and formulas kept in one plain notation."""
     out: list[str] = []
     drop: list[bool] = []  # for each open brace, whether its partner is markup
+    last = 0
     for leaf, label in zip(seq, labels):
+        out.append(text[last : leaf.start])  # white space alone is no leaf
+        last = leaf.end
         body = text[leaf.start : leaf.end]
         kind, name = leaf.kind, leaf.name
         if kind == "brace":
@@ -259,7 +262,8 @@ def render(text: str, seq: list[Leaf], labels: np.ndarray) -> str:
             title = re.sub(r"^\\\w+\*?\s*(?:\[[^\]]*\])?\s*\{(.*)\}$", r"\1", body.strip(), flags=re.S) if kind == "section" else body.split("\n")[0].strip("=# \t") if kind != "tag" else ""
             out.append(f"\n\n# {title}" + "\n\n" * (kind != "tag"))
         elif label == LIST:
-            out.append("\n- " + (body.lstrip("#*: ") + "\n" if kind == "hashes" else ""))
+            above = next((x for x in reversed(out) if x), "\n")
+            out.append(("" if above.endswith("\n") else "\n") + "- " + (body.lstrip("#*: ") if kind == "hashes" else ""))
         elif label == CODE:
             inner = re.sub(r"^(?:<[^>]*>\s*)+|(?:\s*</[^>]*>)+$|^```[^\n]*\n|\n?```\s*$|^\\begin\{[^}]*\}\n?|\n?\\end\{[^}]*\}$", "", body)
             out.append(f"\n\n```\n{html.unescape(inner)}\n```\n\n")

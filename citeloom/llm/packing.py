@@ -205,10 +205,9 @@ def pack(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: st
         spec_id, shard_no, capacity = int(key[0]), int(key[1]), int(rows.capacity.iloc[0])
         open_, items = rows[rows.doc_id.isna()], rows[rows.doc_id.notna()].sort_values(["doc_id", "part_no"])
         at = best_fit([(f"L{int(c)}", int(r)) for c, r in zip(open_.container_no, open_.length)], items.length.to_numpy(), capacity, f"S{shard_no}")
-        out = items[["doc_id", "part_no", "token_start", "token_end"]].copy()
-        out.insert(0, "container_id", at)
-        out.insert(0, "spec_id", spec_id)
-        return out
+        number = {c: items[c].to_numpy(dtype=np.int64) for c in ("doc_id", "part_no", "token_start", "token_end")}
+        # a shard may hold open containers only
+        return pd.DataFrame({"spec_id": np.full(len(items), spec_id), "container_id": np.array(at, dtype=object), **number})
 
     filled = room.unionByName(small).groupBy("spec_id", "shard_no").applyInPandas(fill, CONTAINERS)
     placed = large.select("spec_id", F.concat(F.lit("L"), "container_no").alias("container_id"), "doc_id", "part_no", "token_start", "token_end")
