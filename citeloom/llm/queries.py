@@ -74,8 +74,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def skeleton_sql(column: str) -> str:
+    """The look-alike mapping in SQL; composed accents instead of a collation."""
+    plain = f"translate(regexp_replace({column}, {_quoted(lookalike.UNSEEN.replace(chr(92) * 2, chr(92)))}, '', 'g'), {_quoted(''.join(lookalike.ONE_TO_ONE))}, {_quoted(''.join(lookalike.ONE_TO_ONE.values()))})"
+    for joined, letters in lookalike.JOINED.items():
+        plain = f"replace({plain}, {_quoted(joined)}, {_quoted(letters)})"
+    return f"nfc_normalize({plain})"
+
+
+def words_sql(column: str) -> str:
+    return f"regexp_extract_all(lower({skeleton_sql(f'nfc_normalize({column})')}), '[\\p{{L}}\\p{{N}}]+')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p7_found": """
             SELECT s.spec_id, d.doc_id FROM documents d JOIN pack_specs s ON octet_length(encode(d.text)) + 1 > s.capacity""",
+        "p8_found": f"""
+            WITH i AS (SELECT item_id, {words_sql("text")} AS w FROM eval_passages), d AS (SELECT doc_id, {words_sql("text")} AS w FROM documents),
+            a AS (SELECT item_id, unnest(list_transform(range(1, len(w) - {leakage.STRETCH - 2}), lambda k: array_to_string(list_slice(w, k, k + {leakage.STRETCH - 1}), ' '))) AS g FROM i WHERE len(w) >= {leakage.STRETCH}),
+            b AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {leakage.STRETCH - 2}), lambda k: array_to_string(list_slice(w, k, k + {leakage.STRETCH - 1}), ' '))) AS g FROM d WHERE len(w) >= {leakage.STRETCH})
+            SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)""",
+        "p9_found": f"""
+            WITH s AS (SELECT doc_id, text, {skeleton_sql("text")} AS k FROM documents WHERE text IS NOT NULL)
+            SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id AND a.text <> b.text""",
+        "p9_canonical": f"""
+            WITH s AS (SELECT doc_id, text, {skeleton_sql("text")} AS k FROM documents)
+            SELECT doc_id, CASE WHEN text IS NOT NULL THEN min(text) OVER (PARTITION BY k) END AS canonical FROM s""",
     }
