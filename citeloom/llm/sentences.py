@@ -5,6 +5,8 @@ for the whole corpus, the places where its role is beyond doubt: followed by a l
 word, a comma or a number it is an abbreviation there; at the very end of a text, or
 standing without a period, it is an ordinary word. The doubtful places are then decided
 by the document's own counts, where it has none by the corpus, and last by a short list.
+An abbreviation that may end a sentence does not before a proper name, which is a word
+that the text has with a capital inside a sentence and never without.
 Scripts have their own terminators; Thai, which has none, divides at white space.
 """
 
@@ -42,6 +44,7 @@ _WORD_BEFORE = re.compile(r"(?:[^\W\d_][̀-ͯऀ-ःऺ-ॏ]*)+(?:\.(?:[^\W\d_][
 _WORD = re.compile(r"(?:[^\W\d_][̀-ͯऀ-ःऺ-ॏ]*)+")
 _MIXED = re.compile(r"[a-z]{1,2}(?:[A-Z]|\d+\b)")
 _PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "(": ")", "（": "）", "《": "》", "[": "]"}
+_INSIDE = re.compile(r"(?<=[^\W\d_A-Z][ \n])([A-ZÀ-ÖØ-ÞĀ-ŽА-Я]\w+)")
 _PARAGRAPH = re.compile(r"[ \t]*\r?\n[ \t]*\r?\n\s*")
 _THAI = re.compile("[฀-๿]")
 _QUOTES = set("”»“\"」』")
@@ -240,10 +243,19 @@ def split(text: str, roles: dict[str, int]) -> list[tuple[int, int]]:
         kind = roles.get(token)
         if kind is None:
             kind = role(token, None, None)
-        if kind == 1:
+        if kind == 1 or kind == 2 and (w := _WORD.match(text, q)) and w.group() in proper():
             return -1
         return k
 
+    named: list[set[str]] = []
+
+    def proper() -> set[str]:
+        """Words with a capital inside a sentence, that never stand without one here."""
+        if not named:
+            inside = {m[1] for m in _INSIDE.finditer(text)}
+            named.append({w for w in inside if not re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", text)})
+        return named[0]
+
     found = [(m.start(), m) for m in _RUN.finditer(text)]
     breaks = [(m.start(), m) for m in _PARAGRAPH.finditer(text)]
     if _THAI.search(text):

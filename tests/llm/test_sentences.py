@@ -46,6 +46,13 @@ def test_document_decides():
     assert S.role("j.r", None, None) == 1
 
 
+def test_proper_names_follow_abbreviations():
+    roles = {"u.s": 2}
+    assert len(S.split("He met the Senate. The U.S. Senate sat.", roles)) == 2
+    assert len(S.split("He left the U.S. Then he sat, and then he went.", roles)) == 2
+    assert len(S.split("He left the U.S. Nobody saw it.", roles)) == 2
+
+
 def test_positions_are_ordered():
     text = 'One. “Two? Three!” (Four.) Five' * 50
     spans = S.split(text, {})
