@@ -99,3 +99,40 @@ def cofire(fired: DataFrame, case: str, signal: str, total: int, least: int = 10
     return both.select("signal_a", "signal_b", "both", F.round(phi(F.col("na"), F.col("nb"), F.col("both"), n), 6).alias("phi"))
 
 
+
+
+def auc(scored: DataFrame, p: str, y: str, buckets: int = 1000) -> DataFrame:
+    """One row (positives, negatives, auc): the share of pairs ranked right, ties counted half.
+
+    Scores in [0, 1] are counted by value; the sum over lower scores is taken within a bucket
+    of scores and between buckets, so no task orders all rows.
+    """
+    b = F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1)).cast("int")
+    n = scored.where(F.col(p).isNotNull()).groupBy(b.alias("b"), F.col(p).alias("p")).agg(F.count_if(F.col(y).cast("boolean")).alias("pos"), F.count_if(~F.col(y).cast("boolean")).alias("neg"))
+    inside = W.partitionBy("b").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    n = n.withColumn("low", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    per = n.groupBy("b").agg(F.sum("neg").alias("bn"))  # at most `buckets` rows
+    below = per.withColumn("under", F.coalesce(F.sum("bn").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    right = n.join(F.broadcast(below.select("b", "under")), "b")
+    s = right.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(F.col("pos") * (F.col("low") + F.col("under") + F.col("neg") / 2)).alias("u"))
+    return s.select("positives", "negatives", F.round(F.col("u") / (F.col("positives") * F.col("negatives")), 6).alias("auc"))
+
+
+def platt(scored: DataFrame, key: str, p: str, y: str, folds: int = 5) -> DataFrame:
+    """(key, fold, calibrated): out-of-fold logistic calibration of a probability.
+
+    Folds come from a hash of the key; each fold's model is fitted on the other folds.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
+    base = scored.where(F.col(p).isNotNull()).select(F.col(key), F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold"), F.log(q / (1 - q)).alias("x"), F.col(y).cast("double").alias("label"))
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(base)
+    out = None
+    for k in range(folds):
+        model = LogisticRegression(maxIter=50).fit(data.where(F.col("fold") != k))
+        part = model.transform(data.where(F.col("fold") == k)).select(key, "fold", F.round(vector_to_array("probability")[1], 6).alias("calibrated"))
+        out = part if out is None else out.unionByName(part)
+    return out
