@@ -146,3 +146,20 @@ def empirical_ratios(observed: DataFrame, laplace: float = 1.0) -> DataFrame:
     )
     a, b = (F.col("fb") + laplace) / (F.col("n_bad") + 2 * laplace), (F.col("fg") + laplace) / (F.col("n_good") + 2 * laplace)
     return s.select("signal_name", "n_bad", "n_good", F.round(a / b, 6).alias("lr_pos"), F.round((1 - a) / (1 - b), 6).alias("lr_neg"))
+
+
+def matrix(signals: DataFrame, names: list[str]) -> DataFrame:
+    """One row per reference and a 0/1 column per signal."""
+    s = first_seen(signals)
+    return s.groupBy("ref_id").agg(*(F.max(F.when((F.col("signal_name") == n) & F.col("fired"), 1).otherwise(0)).alias(n) for n in names))
+
+
+def logistic_ratios(rows: DataFrame, names: list[str], label: str, strength: float = 1.0) -> DataFrame:
+    """(signal_name, lr): exp of the weights of a ridge logistic regression on a signal matrix."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows.withColumn("label", F.col(label).cast("double")))
+    n = data.count()
+    model = LogisticRegression(maxIter=100, regParam=1 / (strength * max(1, n)), standardization=False).fit(data)
+    return rows.sparkSession.createDataFrame([(s, round(math.exp(w), 6)) for s, w in zip(names, model.coefficients)], "signal_name string, lr double")

@@ -135,3 +135,20 @@ def health(edges: DataFrame) -> DataFrame:
     density = F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))
     share: Column = F.col("both") / F.col("edges")
     return s.select("nodes", "edges", F.round(density, 6).alias("density"), F.round(share, 6).alias("mutual_share"), F.round(F.col("edges") / F.col("nodes"), 6).alias("mean_degree"), F.round(100 - 40 * F.least(share, F.lit(1.0)), 4).alias("score"))
+
+
+def reachable(edges: DataFrame, roots: DataFrame, depth: int = 12) -> DataFrame:
+    """(id, steps): what is reached from roots (id) over (src, dst), with the fewest steps up to depth.
+
+    Only what the last round added is joined in the next; each round is written out.
+    """
+    e = edges.select("src", "dst").distinct()
+    seen = cut(roots.select("id", F.lit(0).alias("steps")).distinct())
+    edge = seen
+    for k in range(1, depth + 1):
+        new = edge.join(e, edge["id"] == e["src"]).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        edge = cut(new.select("id", F.lit(k).alias("steps")))
+        if not edge.limit(1).count():
+            break
+        seen = cut(seen.unionByName(edge))
+    return seen

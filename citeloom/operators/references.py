@@ -139,3 +139,46 @@ def budgeted(rows: DataFrame, order: list[Column], size: str, budget: float, gro
     start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<bigint>").alias("kept"))
     step = lambda acc, x: F.when(acc.used + x["size"] <= budget, F.struct((acc.used + x["size"]).alias("used"), F.concat(acc.kept, F.array(x["item"])).alias("kept"))).otherwise(acc)
     return listed.select(group, F.aggregate("items", start, step).alias("r")).select(group, F.explode("r.kept").alias("item"))
+
+
+def greedy_matches(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
+    """(group, left_id, right_id): each left row in order takes the first free right row that fits.
+
+    Both sides: (group, id, doi, title). Rows fit by equal DOI or a title likeness of 0.85.
+    Order decides, so a group is folded in one place; a group is one paper's list.
+    """
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    sides = left.select(group, F.lit(0).alias("side"), F.col("id").cast("long"), "doi", "title").unionByName(right.select(group, F.lit(1).alias("side"), F.col("id").cast("long"), "doi", "title"))
+    kind = sides.schema[group].dataType.simpleString()
+
+    def fits(a: tuple, b: tuple) -> bool:
+        if a[1] and b[1]:
+            return a[1].lower() == b[1].lower()
+        return bool(a[2] and b[2]) and SequenceMatcher(None, a[2].lower(), b[2].lower()).ratio() >= 0.85
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        mine, free = ([tuple(r) for r in rows.loc[rows.side == s, ["id", "doi", "title"]].itertuples(index=False)] for s in (0, 1))
+        out = []
+        for a in mine:
+            k = next((k for k, b in enumerate(free) if fits(a, b)), None)
+            if k is not None:
+                out.append((key[0], a[0], free.pop(k)[0]))
+        return pd.DataFrame(out, columns=[group, "left_id", "right_id"])
+
+    return sides.where(F.col(group).isNotNull()).groupBy(group).applyInPandas(run, f"{group} {kind}, left_id long, right_id long")
+
+
+def hyphen_breaks(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, left, right, joined): words cut by a hyphen and a space, and whether the whole word is known.
+
+    texts: (id, text); vocabulary: (word) without repeats.
+    """
+    cut = F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}{2,}- \p{Ll}{2,})"), F.lit(1)))
+    parts = texts.select("id", cut.alias("c")).select("id", F.split_part("c", F.lit("- "), F.lit(1)).alias("left"), F.split_part("c", F.lit("- "), F.lit(2)).alias("right"))
+    known = vocabulary.select("word", F.lit(True).alias("k"))
+    met = parts.withColumn("word", F.lower(F.concat("left", "right"))).join(known, "word", "left")
+    return met.select("id", "left", "right", F.coalesce("k", F.lit(False)).alias("joined"))

@@ -32,3 +32,11 @@ def bm25(queries: DataFrame, units: DataFrame, top: int, k1: float = K1, b: floa
     scored = weighed.join(asked, "term").groupBy("query", "unit").agg(F.round(F.sum("w"), 4).alias("score"))
     w = W.partitionBy("query").orderBy(F.desc("score"), "unit")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def tabular_penalty(text: F.Column) -> F.Column:
+    """What a passage's score is multiplied with: 0.3 for table rows, 0.6 for mostly signs, else 1."""
+    cells, breaks = F.regexp_count(text, F.lit("&")), F.regexp_count(text, F.lit(r"\\\\"))
+    words = F.size(F.regexp_extract_all(text, F.lit(r"[A-Za-z]{2,}"), F.lit(0)))
+    every = F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
+    return F.when((cells >= 3) | (breaks >= 2), 0.3).when((F.instr(text, "\\begin{tab") > 0) | (words < 0.5 * every), 0.6).otherwise(1.0)

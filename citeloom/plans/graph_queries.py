@@ -26,10 +26,10 @@ def trade(spark: SparkSession, d: str) -> DataFrame:
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
 
 
-def strong(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of nations that trade more than the average pair."""
+def strong(spark: SparkSession, d: str, times: float = 1.0) -> DataFrame:
+    """Pairs of nations that trade more than so many times the average pair."""
     n = trade(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return n.join(n.agg(F.avg("n").alias("mean")), F.col("n") > F.col("mean")).select("src", "dst")  # the mean is one row
+    return n.join(n.agg(F.avg("n").alias("mean")), F.col("n") > times * F.col("mean")).select("src", "dst")  # the mean is one row
 
 
 STRONG = f"WITH {TRADE}, n AS (SELECT src, dst, count(*) AS n FROM e GROUP BY ALL), s AS (SELECT src, dst FROM n WHERE n > (SELECT avg(n) FROM n))"

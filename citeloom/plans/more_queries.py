@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 from citeloom.operators import evaluate as E
-from citeloom.operators import layout
+from citeloom.operators import graph, layout, retrieval
+from citeloom.operators import references as R
+from citeloom.plans import graph_queries as GQ
 from citeloom.plans import score_queries as S
 from citeloom.plans import text_queries as T
 from citeloom.plans.registry import SQL, query
@@ -183,3 +185,87 @@ def passages_without_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Windows of every document, the longest first, without those that share lines with one kept."""
     w = T.line_windows(spark, d).withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.col("line_end") - F.col("line_start")), "window_no")))
     return layout.without_overlap(w.select("doc_id", "rank", F.lit("text").alias("file"), "line_start", "line_end"), "doc_id")
+
+
+NAMES = ["reference_not_found", "metadata_mismatch", "no_id_match", "temporal_anomaly", "claim_unsupported"]
+
+
+@query(S.SIGNALS_SQL + " SELECT ref_id, " + ", ".join(f"max(CASE WHEN signal_name = '{n}' AND fired THEN 1 ELSE 0 END)::INTEGER AS {n}" for n in NAMES) + " FROM signals GROUP BY ref_id")
+def signal_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return S.S.matrix(S.signals_of(spark, d), NAMES)
+
+
+@query()
+def logistic_lr(spark: SparkSession, d: str) -> DataFrame:
+    s = S.signals_of(spark, d)
+    bad = s.where("signal_name = 'claim_contradicted'").select("ref_id", F.col("fired").alias("bad"))
+    return S.S.logistic_ratios(S.S.matrix(s, NAMES).join(bad, "ref_id"), NAMES, "bad")
+
+
+@query(f"SELECT a.tier AS naive, b.tier AS grouped, c.tier AS dempster, count(*) AS n FROM ({SQL['risk_naive_bayes']}) a JOIN ({SQL['risk_grouped_bayes']}) b USING (ref_id) JOIN ({SQL['risk_dempster_shafer']}) c USING (ref_id) GROUP BY ALL")
+def scorer_comparison(spark: SparkSession, d: str) -> DataFrame:
+    tier = lambda q, n: q(spark, d).select("ref_id", F.col("tier").alias(n))
+    t = tier(S.risk_naive_bayes, "naive").join(tier(S.risk_grouped_bayes, "grouped"), "ref_id").join(tier(S.risk_dempster_shafer, "dempster"), "ref_id")
+    return t.groupBy("naive", "grouped", "dempster").agg(F.count("*").alias("n"))
+
+
+@query(
+    S.SIGNALS_SQL
+    + f""", one AS (SELECT ref_id, max(lr_pos) AS lr, count(*) AS fired FROM known WHERE fired GROUP BY ref_id HAVING count(*) >= 2), z AS (SELECT ref_id, 1 / (1 + exp(-({S.ODDS} + ln(lr)))) AS p FROM one),
+    f AS (SELECT ref_id, 1 / (1 + exp(-({S.ODDS} + sum(llr)))) AS p FROM known GROUP BY ref_id) SELECT {S.TIER.format("z.p")} AS single, {S.TIER.format("f.p")} AS fused, count(*) AS n FROM z JOIN f USING (ref_id) GROUP BY ALL"""
+)
+def tier_flips(spark: SparkSession, d: str) -> DataFrame:
+    """References with several signals: the tier of the strongest one against that of all."""
+    s = S.signals_of(spark, d)
+    defs = S.S.definitions(spark)
+    strongest = s.where("fired").join(F.broadcast(defs), "signal_name").groupBy("ref_id").agg(F.max("lr_pos").alias("lr"), F.count("*").alias("k")).where("k >= 2")
+    p = 1 / (1 + F.exp(-(F.lit(S.ODDS) + F.log("lr"))))
+    fused = S.S.naive_bayes(s, defs).select("ref_id", F.col("tier").alias("fused"))
+    return strongest.select("ref_id", S.S.tier(p).alias("single")).join(fused, "ref_id").groupBy("single", "fused").agg(F.count("*").alias("n"))
+
+
+GRID = [round(0.2 + 0.1 * k, 1) for k in range(7)]
+
+
+@query(
+    "WITH g(e) AS (VALUES " + ", ".join(f"({x}::DOUBLE)" for x in GRID) + "), h AS (SELECT a.e AS ent, b.e AS con FROM g a, g b), r AS (SELECT entailment_score AS e, contradiction_score AS c, label FROM nli_results) "
+    "SELECT ent, con, round(avg(CASE WHEN CASE WHEN c > con THEN 'CONTRADICTED' WHEN e > ent THEN 'SUPPORTED' ELSE 'NOT_ENOUGH_INFO' END = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM r, h GROUP BY ent, con"
+)
+def nli_threshold_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of every pair of thresholds, in one pass over the results."""
+    right = lambda e, c: F.avg((F.when(F.col("contradiction_score") > c, "CONTRADICTED").when(F.col("entailment_score") > e, "SUPPORTED").otherwise("NOT_ENOUGH_INFO") == F.col("label")).cast("double"))
+    cells = [(e, c) for e in GRID for c in GRID]
+    one = table(spark, d, "nli_results").agg(*(F.round(right(e, c), 6).alias(f"a{k}") for k, (e, c) in enumerate(cells)))
+    rows = F.array(*(F.struct(F.lit(e).alias("ent"), F.lit(c).alias("con"), F.col(f"a{k}").alias("accuracy")) for k, (e, c) in enumerate(cells)))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query(
+    "SELECT sentence_id, CASE WHEN len(regexp_extract_all(text, '&')) >= 3 OR len(regexp_extract_all(text, '\\\\\\\\')) >= 2 THEN 0.3 WHEN contains(text, '\\begin{tab') OR len(regexp_extract_all(text, '[A-Za-z]{2,}')) < 0.5 * len(regexp_extract_all(text, '\\S+')) THEN 0.6 ELSE 1.0 END::DOUBLE AS penalty FROM scan_sentences WHERE text IS NOT NULL"
+)
+def tabular_penalties(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "scan_sentences").where("text IS NOT NULL").select("sentence_id", retrieval.tabular_penalty(F.col("text")).alias("penalty"))
+
+
+@query(
+    """WITH c AS (SELECT entry_id AS id, unnest(regexp_extract_all(raw, '(\\p{L}{2,}- \\p{Ll}{2,})', 1)) AS c FROM pdf_ref_entries), v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '\\p{L}{2,}')) AS word FROM bib_references)
+    SELECT id, split_part(c, '- ', 1) AS "left", split_part(c, '- ', 2) AS "right", v.word IS NOT NULL AS joined FROM c LEFT JOIN v ON v.word = lower(replace(c, '- ', ''))"""
+)
+def hyphen_breaks(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "bib_references").select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("word")).distinct()
+    return R.hyphen_breaks(table(spark, d, "pdf_ref_entries").select(F.col("entry_id").alias("id"), F.col("raw").alias("text")), words)
+
+
+@query()
+def list_matches(spark: SparkSession, d: str) -> DataFrame:
+    """References of a paper's metadata against those of its text, each taken once."""
+    m = table(spark, d, "sneaked_matches").select("paper_doi", F.col("match_id").alias("id"), "doi", "title", "match_type")
+    return R.greedy_matches(m.where("match_type <> 'text_only'"), m.where("match_type <> 'metadata_only'"), "paper_doi")
+
+
+@query(
+    GQ.STRONG.replace("WITH ", "WITH RECURSIVE ", 1).replace("(SELECT src, dst FROM n WHERE n >", "(SELECT src, dst FROM n WHERE n > 1.05 *")
+    + ", r(id, steps) AS (SELECT 0, 0 UNION SELECT s.dst, r.steps + 1 FROM r JOIN s ON s.src = r.id WHERE r.steps < 12) SELECT id, CAST(min(steps) AS INTEGER) AS steps FROM r GROUP BY id"
+)
+def graph_reachable(spark: SparkSession, d: str) -> DataFrame:
+    return graph.reachable(GQ.strong(spark, d, 1.05), spark.createDataFrame([(0,)], "id int"))

@@ -141,3 +141,24 @@ def report(checks: DataFrame) -> DataFrame:
     order = F.when(F.col("status") == "FAIL", 0).when(F.col("status") == "WARN", 1).otherwise(2)
     line = F.format_string("- **%s** reference %d: %s", F.col("status"), F.col("ref_id"), F.col("field"))
     return checks.select(order.alias("severity"), "ref_id", "field", line.alias("line")).orderBy("severity", "ref_id", "field").select("severity", "line")
+
+
+def read_oai(spark: SparkSession, path: str) -> DataFrame:
+    """Records of OAI-PMH answers in Dublin Core: identifier, title, creators, year, description.
+
+    Deleted records and those without a title are left out; descriptions keep 2000 signs.
+    """
+    dc = "STRUCT<title ARRAY<STRING>, creator ARRAY<STRING>, date ARRAY<STRING>, description ARRAY<STRING>, identifier ARRAY<STRING>>"
+    schema = f"header STRUCT<_status STRING, identifier STRING, datestamp STRING>, metadata STRUCT<dc {dc}>"
+    r = spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", "true").schema(schema).load(path)
+    d = "metadata.dc."
+    kept = r.where("coalesce(header._status, '') <> 'deleted'").select(
+        F.col("header.identifier").alias("identifier"), F.get(f"{d}title", F.lit(0)).alias("title"), F.coalesce(f"{d}creator", F.array().cast("array<string>")).alias("authors"), X.first_year(F.get(f"{d}date", F.lit(0))).alias("year"),
+        F.substring(F.get(f"{d}description", F.lit(0)), 1, 2000).alias("description"), F.get(F.filter(F.transform(f"{d}identifier", X.clean_doi), lambda x: x.isNotNull()), F.lit(0)).alias("doi"),
+    )
+    return kept.where(X.present("title").isNotNull())
+
+
+def harvest(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
+    """A stream of newly landed JSON-lines files; the checkpoint of the query remembers the place."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)

@@ -78,3 +78,30 @@ def test_bm25_prefers_the_rare_word(spark, rows):
     q = spark.createDataFrame([(1, "zebra common")], "query long, text string")
     u = spark.createDataFrame([(1, "common words"), (2, "zebra words"), (3, "common things"), (4, None), (5, "")], "unit long, text string")
     assert [r[1] for r in rows(retrieval.bm25(q, u, 2), "rank", "unit")] == [2, 1]
+
+
+def test_greedy_lists(spark, rows):
+    cols = "p string, id long, doi string, title string"
+    a = spark.createDataFrame([("x", 1, "10.1/A", None), ("x", 2, None, "A long title here"), ("x", 3, None, "A long title here"), (None, 4, "10.1/a", None)], cols)
+    b = spark.createDataFrame([("x", 7, "10.1/a", "z"), ("x", 8, None, "A long title herr"), ("y", 9, None, "A long title here")], cols)
+    assert rows(references.greedy_matches(a, b, "p")) == [("x", 1, 7), ("x", 2, 8)]
+
+
+def test_hyphens(spark, rows):
+    t = spark.createDataFrame([(1, "a longi- tudinal co- operation of two- part"), (2, None)], "id long, text string")
+    v = spark.createDataFrame([("longitudinal",)], "word string")
+    assert rows(references.hyphen_breaks(t, v)) == [(1, "co", "operation", False), (1, "longi", "tudinal", True), (1, "two", "part", False)]
+
+
+def test_reachable(spark, rows):
+    e = edges(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (9, 1)])
+    assert rows(graph.reachable(e, spark.createDataFrame([(1,)], "id long"))) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert rows(graph.reachable(e, spark.createDataFrame([(1,)], "id long"), depth=1)) == [(1, 0), (2, 1)]
+
+
+def test_auc_against_all_pairs(spark, rows):
+    r = random.Random(6)
+    data = [(round(r.random(), 2), r.random() < 0.4) for _ in range(300)]
+    pos, neg = [p for p, y in data if y], [p for p, y in data if not y]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert rows(evaluate.auc(spark.createDataFrame(data, "p double, y boolean"), "p", "y", buckets=7), "auc") == [(round(want, 6),)]

@@ -62,3 +62,27 @@ def test_registry_source(spark, tmp_path, rows):
     assert rows(load(), "registry") == [("arxiv",), ("crossref",), ("epo",)]
     assert rows(load(domain="academic").where("id_type = 'doi' AND id_value IN ('d', 'e')"), "registry") == [("crossref",)]
     assert len(registry.REGISTRIES) == 61
+
+
+OAI = """<OAI-PMH><ListRecords>
+<record><header><identifier>a</identifier></header><metadata><oai_dc:dc xmlns:oai_dc="u" xmlns:dc="v"><dc:title>One</dc:title><dc:creator>Lee, A</dc:creator><dc:creator>Kim, B</dc:creator><dc:date>2003-02-01</dc:date><dc:identifier>https://doi.org/10.1000/z</dc:identifier></oai_dc:dc></metadata></record>
+<record><header status="deleted"><identifier>b</identifier></header></record>
+<record><header><identifier>c</identifier></header><metadata><oai_dc:dc xmlns:oai_dc="u" xmlns:dc="v"><dc:creator>X</dc:creator></oai_dc:dc></metadata></record></ListRecords></OAI-PMH>"""
+
+
+def test_oai(spark, tmp_path, rows):
+    (tmp_path / "x.xml").write_text(OAI)
+    assert rows(files.read_oai(spark, str(tmp_path / "x.xml")), "identifier", "title", "authors", "year", "doi") == [("a", "One", ["Lee, A", "Kim, B"], 2003, "10.1000/z")]
+
+
+def test_harvest_goes_on(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+
+    def run(name):
+        (tmp_path / "in" / f"{name}.jsonl").write_text(json.dumps({"id": name}) + "\n")
+        q = files.harvest(spark, str(tmp_path / "in"), "id string").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+        return sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run("a") == ["a"]
+    assert run("b") == ["a", "b"]

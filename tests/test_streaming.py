@@ -47,3 +47,16 @@ def test_seen_ids(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.id for r in spark.sql("SELECT id FROM unseen_out").collect()) == [1, 2]
+
+
+def test_cache_stream(spark, tmp_path):
+    from citeloom.streaming import cache
+
+    calls = [("k", 0.0), ("k", 5.0), ("k", 11.0), ("k", 12.0), ("j", 3.0)]
+    spark.createDataFrame(calls, "key string, ts double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ts double").parquet(str(tmp_path / "in"))
+    q = cache.lookups(stream, 10.0).writeStream.format("memory").queryName("cache_out").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.key, r.ts, r.hit) for r in spark.sql("SELECT * FROM cache_out").collect())
+    assert got == [("j", 3.0, False), ("k", 0.0, False), ("k", 5.0, True), ("k", 11.0, False), ("k", 12.0, True)]
