@@ -53,17 +53,18 @@ def nearest_ranks(rows: DataFrame, group: str, value: str, shares: list[float])
     A sketch first narrows each quantile to a small range; only values in it are ranked.
     """
     rows = rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
-    eps = 0.002
+    eps, accuracy = 0.0005, 10_000
     wide = sorted({max(0.0, min(1.0, q + s * eps)) for q in shares for s in (-1, 1)})
-    sketch = rows.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx("v", [float(x) for x in wide], 2000).alias("cuts"), F.min("v").alias("least"), F.max("v").alias("most"))
+    sketch = rows.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx("v", [float(x) for x in wide], accuracy).alias("cuts"))
     want = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(wide.index(max(0.0, q - eps))).alias("i"), F.lit(wide.index(min(1.0, q + eps))).alias("j")) for q in shares))
-    asked = sketch.select(group, "n", "cuts", "least", "most", F.explode(want).alias("w"))
-    asked = asked.select(group, "n", F.col("w.q").alias("q"), F.get("cuts", F.col("w.i")).alias("lo"), F.get("cuts", F.col("w.j")).alias("hi"))
-    met = rows.join(F.broadcast(asked), group)  # one row per group and share
+    asked = sketch.select(group, "n", "cuts", F.explode(want).alias("w")).select(group, "n", F.col("w.q").alias("q"), F.get("cuts", F.col("w.i")).alias("lo"), F.get("cuts", F.col("w.j")).alias("hi"))
+    met = rows.join(asked, group)
     below = met.groupBy(group, "q").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.first("n").alias("n"))
-    inside = met.where("v >= lo AND v <= hi").withColumn("r", F.row_number().over(W.partitionBy(group, "q").orderBy("v")))
-    at = F.least(F.floor(F.col("n") * F.col("q")), F.col("n") - 1) + 1
-    return inside.join(below.select(group, "q", "below", "n").withColumnRenamed("n", "m"), [group, "q"]).where((F.col("r") + F.col("below")) == F.least(F.floor(F.col("m") * F.col("q")), F.col("m") - 1) + 1).select(group, "q", F.col("v").alias("value"))
+    # equal values are counted before they are ordered, so a value that many rows have is one row
+    inside = met.where("v >= lo AND v <= hi").groupBy(group, "q", "v").agg(F.count("*").alias("k"))
+    upto = inside.withColumn("upto", F.sum("k").over(W.partitionBy(group, "q").orderBy("v"))).join(below, [group, "q"])
+    place = F.least(F.floor(F.col("n") * F.col("q")), F.col("n") - 1) + 1
+    return upto.where(F.col("upto") + F.col("below") >= place).groupBy(group, "q").agg(F.min("v").alias("value"))
 
 
 def ranking_metrics(ranked: DataFrame, ks: list[int]) -> DataFrame:
