@@ -6,7 +6,8 @@ little beside another given name. A prefix filter finds every pair above a low c
 exactly and without a cap: of each vector only the rarest n-grams are joined, as many as
 the threshold needs, and words more than two edits apart are dropped inside the join.
 Words that elsewhere stand as given names carry no n-grams: a link needs a near surname.
-Pairs whose parts contradict each other get no link. Spellings with a full given name are
+A slip in a short surname leaves few n-grams, so persons also meet under their surname with
+each letter left out: no pair whose parts agree depends on the cosine. Pairs whose parts contradict each other get no link. Spellings with a full given name are
 then clustered by average linkage within what the links connect; initials join a cluster
 only where it is the one that fits. Bare surnames, which have no initials, are joined to
 the clusters' surnames: equal ones, else the one near enough.
@@ -359,6 +360,36 @@ def surname_keys(name: Name) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def given_keys(given: tuple[str, ...]) -> set[str]:
+    """Marks of given names: those that given_alike() accepts share one.
+
+    Equal and short names share an initial; full names whose slip is in the first letters share the last.
+    """
+    first = formal(given[0])
+    out = {w[0] for w in first if w}
+    if len(given[0]) > 1:
+        joined = "".join(w for w in given if len(w) > 1)
+        for w in {*first, *map(plain, first), joined}:
+            out.update(f"${c}" for c in (w[-1:] if len(w) > 2 else w))
+    return out
+
+
+def slip_keys(name: Name) -> list[str]:
+    """Marks of a person's spelling: any two that alike() accepts share one.
+
+    Strings one edit or swap apart become equal when the right letter is left out of each
+    or of one; only surnames of five letters may have a slip.
+    """
+    out: set[str] = set()
+    for s, given in name.readings:
+        if not given or len(s) < 5:
+            continue
+        forms = {s, plain(s), s.rpartition(" ")[2]}
+        forms.update(s[:k] + s[k + 1 :] for k in range(len(s)))
+        out.update(f"{f}|{g}" for f in forms for g in given_keys(given))
+    return sorted(out)
+
+
 def typed_names(refs: DataFrame, entries: DataFrame, matches: DataFrame) -> DataFrame:
     """(name): every different spelling in the three tables.
 
@@ -389,12 +420,12 @@ def _word_grams(words: pd.Series) -> pd.Series:
 _LISTS = T.ArrayType(T.StringType())
 
 
-@F.pandas_udf(T.StructType([T.StructField("bare", T.BooleanType()), T.StructField("keys", _LISTS), T.StructField("before", _LISTS), T.StructField("after", _LISTS)]))
+@F.pandas_udf(T.StructType([T.StructField("bare", T.BooleanType()), T.StructField("keys", _LISTS), T.StructField("slips", _LISTS), T.StructField("before", _LISTS), T.StructField("after", _LISTS)]))
 def _parts(names: pd.Series) -> pd.DataFrame:
-    """Whether a spelling is a bare surname, its surnames, and the words before and after a comma."""
+    """Whether a spelling is a bare surname, its surnames, its marks, and the words before and after a comma."""
     found = [Name(n) for n in names]
     sides = [[_WORD.findall(fold(untex(y))) for y in (n.split(",", 1) if "," in n and not x.org else ("", ""))] for n, x in zip(names, found)]
-    return pd.DataFrame({"bare": [x.bare for x in found], "keys": [surname_keys(x) for x in found], "before": [b for b, _ in sides], "after": [a for _, a in sides]})
+    return pd.DataFrame({"bare": [x.bare for x in found], "keys": [surname_keys(x) for x in found], "slips": [[] if x.org or x.bare else slip_keys(x) for x in found], "before": [b for b, _ in sides], "after": [a for _, a in sides]})
 
 
 def given_words(parts: DataFrame) -> DataFrame:
@@ -473,6 +504,15 @@ def links(vecs: DataFrame, least: float = COSINE) -> DataFrame:
     return shared.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
 
 
+def slip_links(whole: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of spellings (name, slips) that share a mark and whose parts agree."""
+    marks = cut(whole.select("name", F.explode("slips").alias("mark")).select(F.xxhash64("name").alias("id"), F.xxhash64("mark").alias("mark")))
+    met = marks.select("mark", F.col("id").alias("a")).join(marks.select("mark", F.col("id").alias("b")), "mark").where("a < b").select("a", "b").distinct()
+    name = whole.select(F.xxhash64("name").alias("id"), "name")
+    both = met.join(name.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a").join(name.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b")
+    return both.where(_alike("name_a", "name_b") > 0).select("a", "b")
+
+
 def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     """(id, root): the smallest id that pairs (a, b) connect each id to.
 
@@ -522,7 +562,7 @@ def entities(names: DataFrame) -> DataFrame:
     parts = cut(names.withColumn("p", _parts("name")).select("name", "p.*"))
     whole = parts.where(~F.col("bare")).drop("before", "after")
     vecs = cut(vectors(whole.select("name"), given_words(parts)))
-    roots = components(links(vecs))
+    roots = components(links(vecs).select("a", "b").unionByName(slip_links(whole.select("name", "slips"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Clusters of each run of rows with one root; a run may go on in the next batch."""

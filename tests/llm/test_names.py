@@ -84,3 +84,24 @@ def test_links_against_all_pairs(spark):
             want.add(frozenset((a, b)))
     assert want and got == want
     assert all(math.isclose(sum(w * w for w in v.values()), 1) for v in held.values())
+
+
+SLIPS = [
+    ("Drentigo, Mikhail", "Drnetigo, Mikhail"), ("Peborbuno, Sven T.", "Pebrobuno, Sven"), ("Abcde, Jon", "Abxde, Ion"), ("Mueller, Katerina", "Muller, Ekaterina"), ("Torvik, Li-Wei", "Torvk, Iliwei"), ("van der Torvik, Anna", "A. Torvik"), ("Brandt, Bob", "Barndt, Robert J."),
+    ("Torvik, Zoe", "Torvik, Zoee"), ("Brandt, Joe", "Brandts, J."),
+]
+
+
+def test_every_accepted_slip_is_reached(spark):
+    typed = sorted({n for pair in SLIPS + SAME + OTHER for n in pair})
+    whole = spark.createDataFrame([(n, N.slip_keys(N.Name(n))) for n in typed if not N.Name(n).org], "name string, slips array<string>")
+    name = {r.id: r.name for r in whole.selectExpr("xxhash64(name) AS id", "name").collect()}
+    got = {frozenset((name[r.a], name[r.b])) for r in N.slip_links(whole).collect()}
+    want = {frozenset(p) for p in itertools.combinations(name.values(), 2) if N.alike(*map(N.Name, p)) > 0}
+    assert got == want and all(frozenset(p) in got for p in SLIPS)
+
+
+def test_found_slip_below_the_cosine(spark, rows):
+    others = [f"Dr{a}{b}tigo, {g}" for a, b, g in zip("aeiouaeiou", "lmrstlmrst", ["Olga", "Peter", "Anna", "Ruth", "Hugo", "Emil", "Carla", "Berta", "Ludwig", "Xenia"])]
+    for pair in SLIPS[:2]:
+        assert tuple(sorted(pair)) in rows(N.found(*tables(spark, [*pair, *others])))
