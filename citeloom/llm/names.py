@@ -1,13 +1,13 @@
-"""Variant spellings of names: n-gram vectors, a sparse cosine join, average linkage.
-
-All different spellings get vectors of character n-grams weighted by rarity; an n-gram of
-one word is told apart by the initials of the other words, for a surname's letters say
-little beside another given name. A prefix filter finds every pair above a low cosine,
-exactly and without a cap: of each vector only the rarest n-grams are joined, as many as
-the threshold needs, and words more than two edits apart are dropped inside the join.
-Words that elsewhere stand as given names carry no n-grams: a link needs a near surname.
-A slip in a short surname leaves few n-grams, so persons also meet under their surname with
-each letter left out: no pair whose parts agree depends on the cosine. Pairs whose parts contradict each other get no link. Spellings with a full given name are
+"""Variant spellings of names: marks and n-gram vectors, joins without a cap, average linkage.
+
+Persons' spellings meet under their surname with each letter left out, told apart by the
+initials of the given name, for a surname says little beside another given name; any two
+whose parts agree share such a mark. Organisations get vectors of character n-grams
+weighted by rarity; a prefix filter finds every pair above a low cosine, exactly and without
+a cap: of each vector only the rarest n-grams are joined, as many as the threshold needs,
+and words more than two edits apart are dropped inside the join. Beside that they meet
+under one word and the initials of the others, which abbreviations and acronyms keep.
+Pairs whose parts contradict each other get no link. Spellings with a full given name are
 then clustered by average linkage within what the links connect; initials join a cluster
 only where it is the one that fits. Bare surnames, which have no initials, are joined to
 the clusters' surnames: equal ones, else the one near enough.
@@ -280,9 +280,17 @@ def alike(a: Name, b: Name) -> float:
 def likeness(names: list[Name]) -> np.ndarray:
     """The symmetric table of likenesses."""
     out = np.zeros((len(names), len(names)))
-    for i, a in enumerate(names):
-        for j in range(i):
-            out[i, j] = out[j, i] = alike(a, names[j])
+    if len(names) < 12 or any(x.org for x in names):
+        pairs = ((i, j) for i in range(len(names)) for j in range(i))
+    else:
+        # what agrees shares a mark
+        marked: dict[str, list[int]] = defaultdict(list)
+        for i, a in enumerate(names):
+            for mark in slip_keys(a):
+                marked[mark].append(i)
+        pairs = {(i, j) for at in marked.values() for k, i in enumerate(at) for j in at[:k]}
+    for i, j in pairs:
+        out[i, j] = out[j, i] = alike(names[i], names[j])
     return out
 
 
@@ -378,18 +386,38 @@ def slip_keys(name: Name) -> list[str]:
     """Marks of a person's spelling: any two that alike() accepts share one.
 
     Strings one edit or swap apart become equal when the right letter is left out of each
-    or of one; only surnames of five letters may have a slip.
+    or of one. Surnames below five letters may have no slip and stand under themselves, as
+    do those that are given names elsewhere.
     """
     out: set[str] = set()
     for s, given in name.readings:
-        if not given or len(s) < 5:
+        if not given:
             continue
-        forms = {s, plain(s), s.rpartition(" ")[2]}
-        forms.update(s[:k] + s[k + 1 :] for k in range(len(s)))
+        head, _, last = s.rpartition(" ")
+        forms = {s, last} if all(w in PARTICLES or w == last for w in head.split()) else {s}
+        if len(s) >= 5:
+            forms |= {plain(s)} | {s[:k] + s[k + 1 :] for k in range(len(s))}
         out.update(f"{f}|{g}" for f in forms for g in given_keys(given))
     return sorted(out)
 
 
+def body_keys(name: Name) -> list[str]:
+    """Marks of a spelling that may be an organisation's: a word or one with a letter left out, and the initials of the rest.
+
+    An acronym also stands for its letters. Spellings that show neither give whole words only.
+    """
+    words = name.body
+    if len(words) < 3 and not (name.acronym and len(words) > 1):
+        return []
+    out: set[str] = set()
+    for k, w in enumerate(words):
+        rest = words[:k] + words[k + 1 :]
+        forms = {w} | ({w[:i] + w[i + 1 :] for i in range(len(w))} if (name.org or name.acronym) and len(w) > 3 else set())
+        for letters in [[v[0] for v in rest]] + ([[v[0] for v in rest if v != name.acronym] + list(name.acronym)] if name.acronym in rest else []):
+            out.update(f"{f}|{''.join(sorted(letters))}" for f in forms)
+    return sorted(out)
+
+
 def typed_names(refs: DataFrame, entries: DataFrame, matches: DataFrame) -> DataFrame:
     """(name): every different spelling in the three tables.
 
@@ -420,20 +448,12 @@ def _word_grams(words: pd.Series) -> pd.Series:
 _LISTS = T.ArrayType(T.StringType())
 
 
-@F.pandas_udf(T.StructType([T.StructField("bare", T.BooleanType()), T.StructField("keys", _LISTS), T.StructField("slips", _LISTS), T.StructField("before", _LISTS), T.StructField("after", _LISTS)]))
+@F.pandas_udf(T.StructType([T.StructField("bare", T.BooleanType()), T.StructField("org", T.BooleanType()), *(T.StructField(k, _LISTS) for k in ("keys", "slips", "body"))]))
 def _parts(names: pd.Series) -> pd.DataFrame:
-    """Whether a spelling is a bare surname, its surnames, its marks, and the words before and after a comma."""
+    """Whether a spelling is a bare surname or an organisation's, its surnames, and its marks as either."""
     found = [Name(n) for n in names]
-    sides = [[_WORD.findall(fold(untex(y))) for y in (n.split(",", 1) if "," in n and not x.org else ("", ""))] for n, x in zip(names, found)]
-    return pd.DataFrame({"bare": [x.bare for x in found], "keys": [surname_keys(x) for x in found], "slips": [[] if x.org or x.bare else slip_keys(x) for x in found], "before": [b for b, _ in sides], "after": [a for _, a in sides]})
-
-
-def given_words(parts: DataFrame) -> DataFrame:
-    """(word): words that follow the comma of a name far more often than they precede it."""
-    before = parts.select(F.explode("before").alias("word"), F.lit(0).alias("g"))
-    after = parts.select(F.explode("after").alias("word"), F.lit(1).alias("g"))
-    n = before.unionByName(after).groupBy("word").agg(F.sum("g").alias("g"), F.count("*").alias("n"))
-    return n.where("g >= 2 AND g > 5 * (n - g)").select("word")
+    slips = [[] if x.org or x.bare else slip_keys(x) for x in found]
+    return pd.DataFrame({"bare": [x.bare for x in found], "org": [x.org for x in found], "keys": [surname_keys(x) for x in found], "slips": slips, "body": [body_keys(x) for x in found]})
 
 
 _read: dict[str, Name] = {}
@@ -459,10 +479,11 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def vectors(names: DataFrame, given: DataFrame) -> DataFrame:
-    """(id, name, v): unit vectors of n-grams, the rarest first, as arrays of (df, gram, word, w)."""
+def vectors(names: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """(id, name, v): unit vectors of n-grams, the rarest first, as arrays of (df, gram, word, w); words of `given` (word) are left out."""
     held = names.select(F.xxhash64("name").alias("id"), "name")
-    grams = held.select("id", F.explode(_features("name")).alias("f")).select("id", "f.gram", "f.word").join(given, "word", "left_anti")
+    grams = held.select("id", F.explode(_features("name")).alias("f")).select("id", "f.gram", "f.word")
+    grams = grams if given is None else grams.join(given, "word", "left_anti")
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     total = F.lit(float(max(1, held.count())))
     weighed = grams.join(df, "gram").withColumn("w", F.log(1 + total / F.greatest(F.col("df"), F.lit(COMMON))))
@@ -505,9 +526,16 @@ def links(vecs: DataFrame, least: float = COSINE) -> DataFrame:
 
 
 def slip_links(whole: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of spellings (name, slips) that share a mark and whose parts agree."""
-    marks = cut(whole.select("name", F.explode("slips").alias("mark")).select(F.xxhash64("name").alias("id"), F.xxhash64("mark").alias("mark")))
-    met = marks.select("mark", F.col("id").alias("a")).join(marks.select("mark", F.col("id").alias("b")), "mark").where("a < b").select("a", "b").distinct()
+    """(a, b), a < b: all pairs of spellings (name, org, slips, body) that share a mark and whose parts agree.
+
+    Marks of organisations' words count only where one of the two is an organisation's.
+    """
+    ids = whole.select(F.xxhash64("name").alias("id"), "org", "slips", "body")
+    persons = cut(ids.select("id", F.explode("slips").alias("mark")).select("id", F.xxhash64("mark").alias("mark")))
+    bodies = ids.select("id", "org", F.explode("body").alias("mark")).select("id", "org", F.xxhash64("mark").alias("mark"))
+    near_persons = persons.select("mark", F.col("id").alias("a")).join(persons.select("mark", F.col("id").alias("b")), "mark").where("a < b").select("a", "b")
+    near_bodies = bodies.where("org").select("mark", F.col("id").alias("x")).join(bodies.select("mark", F.col("id").alias("y")), "mark").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    met = near_persons.unionByName(near_bodies).distinct()
     name = whole.select(F.xxhash64("name").alias("id"), "name")
     both = met.join(name.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a").join(name.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b")
     return both.where(_alike("name_a", "name_b") > 0).select("a", "b")
@@ -560,9 +588,9 @@ def entities(names: DataFrame) -> DataFrame:
     bare surname stands for.
     """
     parts = cut(names.withColumn("p", _parts("name")).select("name", "p.*"))
-    whole = parts.where(~F.col("bare")).drop("before", "after")
-    vecs = cut(vectors(whole.select("name"), given_words(parts)))
-    roots = components(links(vecs).select("a", "b").unionByName(slip_links(whole.select("name", "slips"))))
+    whole = parts.where(~F.col("bare"))
+    vecs = cut(vectors(whole.where("org").select("name")))
+    roots = components(cut(links(vecs).select("a", "b").unionByName(slip_links(whole)).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Clusters of each run of rows with one root; a run may go on in the next batch."""
@@ -585,7 +613,7 @@ def entities(names: DataFrame) -> DataFrame:
 
     # the groups are small in bytes and dear in time: a fixed number of partitions keeps all cores at work
     spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    grouped = roots.join(vecs.select("id", "name"), "id").repartition(spread, "root").sortWithinPartitions("root")
+    grouped = roots.join(whole.select(F.xxhash64("name").alias("id"), "name"), "id").repartition(spread, "root").sortWithinPartitions("root")
     linked = cut(grouped.select("root", "name").mapInArrow(run, "name string, entity string"))
     # a spelling without links is an entity alone
     every = whole.join(linked, "name", "left").join(roots.select(F.col("id").alias("_id")), F.xxhash64("name") == F.col("_id"), "left")

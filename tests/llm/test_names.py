@@ -94,7 +94,7 @@ SLIPS = [
 
 def test_every_accepted_slip_is_reached(spark):
     typed = sorted({n for pair in SLIPS + SAME + OTHER for n in pair})
-    whole = spark.createDataFrame([(n, N.slip_keys(N.Name(n))) for n in typed if not N.Name(n).org], "name string, slips array<string>")
+    whole = spark.createDataFrame([(x.spelling, x.org, [] if x.org else N.slip_keys(x), N.body_keys(x)) for x in map(N.Name, typed)], "name string, org boolean, slips array<string>, body array<string>")
     name = {r.id: r.name for r in whole.selectExpr("xxhash64(name) AS id", "name").collect()}
     got = {frozenset((name[r.a], name[r.b])) for r in N.slip_links(whole).collect()}
     want = {frozenset(p) for p in itertools.combinations(name.values(), 2) if N.alike(*map(N.Name, p)) > 0}
@@ -105,3 +105,13 @@ def test_found_slip_below_the_cosine(spark, rows):
     others = [f"Dr{a}{b}tigo, {g}" for a, b, g in zip("aeiouaeiou", "lmrstlmrst", ["Olga", "Peter", "Anna", "Ruth", "Hugo", "Emil", "Carla", "Berta", "Ludwig", "Xenia"])]
     for pair in SLIPS[:2]:
         assert tuple(sorted(pair)) in rows(N.found(*tables(spark, [*pair, *others])))
+
+
+SHORT = [("Li, Wei", "Li, W."), ("Kim, Soo-Jin", "Kim, S. J."), ("Wu, Joe", "Joseph Wu"), ("Thomas, Anna", "Thomas, A."), ("de Li, Otto", "Li, Otto")]
+
+
+def test_short_and_given_surnames(spark, rows):
+    given = ["Brandt, Thomas", "Torvik, Thomas", "Nesgebi, Thomas", "Madimuke, Thomas B.", "Pronfedark, Thomas", "Somdrigate, Thomas", "Gamonbi, Thomas", "Sabritino, Thomas", "Hodralore, Thomas", "Dreherefa, Thomas", "Krilkata, Thomas", "Bodiirbe, Thomas"]
+    got = rows(N.found(*tables(spark, [*(n for pair in SHORT for n in pair), *given])))
+    assert {tuple(sorted(p)) for p in SHORT} <= set(got)
+    assert not {n for p in got for n in p} & set(given)
