@@ -1,9 +1,11 @@
 """Matching references to registry records by sorted neighbourhoods.
 
-Both sides are reduced to their different (title, year, venue) forms. Every form enters
-one globally sorted list under several composite keys: its two rarest title words, its
-title, and its title read backwards. A window slides over the list; inside it forms are
-compared by weighted similarities of title, year and venue. Registry forms that describe
+Both sides are reduced to their different (title, year, venue) forms, and these to their
+different titles. Every title enters one globally sorted list under several composite
+keys: its rarest words, itself, and itself read backwards. A window slides over the list;
+titles also meet in a join where they share two words that are too common for a block of
+their own, or are equal but for small words. Forms of titles that are alike are compared by
+weighted similarities of title, year and venue. Registry forms that describe
 one work are grouped the same way, and each reference form is assigned to one group, the
 one that adds most confidence.
 """
@@ -12,15 +14,16 @@ from __future__ import annotations
 
 import re
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.session import cut
 
 WINDOW = 12  # neighbours on each side under any key
-RARE = 400  # under a word of at most so many forms, all forms of the word are neighbours
+RARE = 400  # under a word of at most so many titles, all titles of the word are neighbours
+KEYS = 5  # rarest words a title is found by: three may have a slip, two are left
 BLOCK = 20_000  # entries of the sorted list that one task compares
 WEIGHTS = {"title": 0.75, "year": 0.15, "venue": 0.10}
 LEAST = 0.72  # confidence of a match
@@ -193,27 +196,70 @@ def forms(refs: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame, Data
     return each[0].unionByName(each[1]), a.select("form", "ref_id"), b.select("form", "work_id")
 
 
-def entries(each: DataFrame) -> DataFrame:
-    """The forms under all their sort keys."""
-    words = each.select("form", F.explode(F.array_distinct(F.filter(F.split("title", " "), lambda w: (F.length(w) > 3)))).alias("word"))
-    count = words.groupBy("word").agg(F.count("*").alias("n"))
-    rated = words.join(count, "word").groupBy("form").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 2).alias("rare"))
-    joined = each.join(rated, "form", "left")
+def top_words(titles: DataFrame) -> DataFrame:
+    """(form, top): the rarest words with their numbers of titles, of each title and of each part between colons."""
+    parts = titles.select("form", F.explode(F.array_distinct(F.concat(F.array("title"), F.split("title", r"\|")))).alias("part"))
+    words = parts.select("form", "part", F.explode(F.array_distinct(F.filter(F.split("part", " "), lambda w: F.length(w) > 3))).alias("word"))
+    count = words.groupBy("word").agg(F.count_distinct("form").alias("n"))
+    return words.join(count, "word").groupBy("form", "part").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, KEYS).alias("top")).select("form", "top")
+
+
+def entries(titles: DataFrame, top: DataFrame) -> DataFrame:
+    """The titles under all their sort keys."""
+    rated = top.groupBy("form").agg(F.array_distinct(F.flatten(F.collect_list("top"))).alias("rare"))
+    joined = titles.join(rated, "form", "left")
     plain = F.regexp_replace("title", r"[ |]+", "")
     by_word = F.transform(F.coalesce("rare", F.array().cast("array<struct<n:bigint,word:string>>")), lambda r: F.struct(F.concat(F.lit("w:"), r.word, F.lit(" "), plain).alias("key"), (r.n <= RARE).alias("rare")))
     whole = F.array(F.struct(F.concat(F.lit("f:"), plain).alias("key"), F.lit(False).alias("rare")), F.struct(F.concat(F.lit("r:"), F.reverse(plain)).alias("key"), F.lit(False).alias("rare")))
-    return joined.select("form", "side", "title", "year", "venue", F.explode(F.concat(by_word, whole)).alias("k")).select(F.col("k.key"), "form", "side", "title", "year", "venue", F.col("k.rare"))
+    return joined.select("form", "side", "title", F.explode(F.concat(by_word, whole)).alias("k")).select(F.col("k.key"), "form", "side", "title", F.col("k.rare"))
+
+
+_titles: dict[str, Title] = {}
+
+
+def read(folded: str) -> Title:
+    """A title's parts; the last ones read are kept."""
+    got = _titles.get(folded)
+    if got is None:
+        if len(_titles) > 50_000:
+            _titles.clear()
+        got = _titles[folded] = Title(folded)
+    return got
 
 
-def compare(block: pd.DataFrame, window: int = WINDOW) -> list[tuple[int, int, int, float]]:
-    """(side, form, registry form, confidence) of all neighbours in one sorted block."""
-    seen: dict[int, tuple] = {}
-    for form, title, year, venue in zip(block.form, block.title, block.year, block.venue):
-        if form not in seen:
-            seen[form] = (Title(title), None if pd.isna(year) else int(year), venue or "")
+@F.pandas_udf(T.DoubleType())
+def _title_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([title_likeness(read(x), read(y)) for x, y in zip(a, b)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def _confidence(ta: pd.Series, ya: pd.Series, va: pd.Series, tb: pd.Series, yb: pd.Series, vb: pd.Series) -> pd.Series:
+    year = lambda y: None if pd.isna(y) else int(y)
+    return pd.Series([confidence((read(a), year(y), v or ""), (read(b), year(z), w or "")) for a, y, v, b, z, w in zip(ta, ya, va, tb, yb, vb)], dtype=float)
+
+
+def common_pairs(titles: DataFrame, top: DataFrame) -> DataFrame:
+    """(a, b): a title and a registry title that share two words of more than RARE titles, or all but small words, and are alike.
+
+    A join, so no number of titles under one key loses any.
+    """
+    hot = F.transform(F.filter("top", lambda x: x.n > RARE), lambda x: x.word)
+    two = F.flatten(F.transform(hot, lambda x: F.transform(F.filter(hot, lambda y: y > x), lambda y: F.concat(F.lit("p:"), x, F.lit(" "), y))))
+    core = F.concat(F.lit("c:"), F.array_join(F.filter(F.split("title", " "), lambda w: ~w.isin("", "|", *SMALL)), ""))
+    keys = cut(top.select("form", F.explode(two).alias("key")).unionByName(titles.select("form", core.alias("key"))).distinct())
+    of_works = keys.join(titles.where("side = 1").select("form"), "form", "left_semi")
+    met = keys.withColumnRenamed("form", "a").join(of_works.withColumnRenamed("form", "b"), "key").where("a <> b").select("a", "b").distinct()
+    text = titles.select("form", "title")
+    both = met.join(text.toDF("a", "title_a"), "a").join(text.toDF("b", "title_b"), "b")
+    return both.where(_title_likeness("title_a", "title_b") > 0).select("a", "b")
+
+
+def compare(block: pd.DataFrame, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(title, registry title) of all neighbours in one sorted block that are alike."""
     ids, sides, rare = block.form.tolist(), block.side.tolist(), block.rare.tolist()
+    seen = {f: Title(t) for f, t in dict(zip(ids, block.title)).items()}
     words = [k.split(" ", 1)[0] if r else None for k, r in zip(block.key, rare)]
-    out: dict[tuple[int, int], float] = {}
+    out: dict[tuple[int, int], bool] = {}
     n = len(ids)
     for i in range(n):
         if sides[i] != 1:
@@ -224,20 +270,22 @@ def compare(block: pd.DataFrame, window: int = WINDOW) -> list[tuple[int, int, i
             while 0 <= j < n and (abs(j - i) <= window or words[i] is not None and words[j] == words[i]):
                 pair = (ids[j], ids[i])
                 if pair[0] != pair[1] and pair not in out:
-                    out[pair] = confidence(seen[ids[j]], me)
+                    out[pair] = title_likeness(seen[ids[j]], me) > 0
                 j += step
-    side_of = dict(zip(ids, sides))
-    return [(side_of[a], a, b, c) for (a, b), c in out.items() if c >= LEAST]
+    return [p for p, good in out.items() if good]
 
 
 def neighbours(each: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(side, form, other, confidence): pairs of a form and a registry form alike enough.
 
-    The list is sorted once; blocks of it share their last entries with the next block, so
-    no window is cut. Ranks need one count per partition of the sorted list on the driver.
+    Titles are paired first; a title with any number of forms is one entry. The list is
+    sorted once; blocks of it share their last entries with the next block, so no window is
+    cut. Ranks need one count per partition of the sorted list on the driver.
     """
+    titles = cut(each.groupBy("title").agg(F.max("side").alias("side")).withColumn("form", F.xxhash64("title")))
+    top = cut(top_words(titles))
     spark = each.sparkSession
-    listed = cut(entries(each).orderBy("key", "form").withColumn("_at", F.monotonically_increasing_id()))
+    listed = cut(entries(titles, top).orderBy("key", "form").withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     counts = sorted((r.p, r.n) for r in listed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     offsets, total = {}, 0
@@ -251,13 +299,18 @@ def neighbours(each: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Dat
     share = RARE * 2  # no window reaches further back
     home = F.floor(F.col("rank") / block).cast("int")
     blocks = F.when(F.pmod("rank", F.lit(block)) >= block - share, F.array(home, home + 1)).otherwise(F.array(home))
-    dealt = ranked.select(F.explode(blocks).alias("block_no"), "rank", "key", "form", "side", "title", "year", "venue", "rare")
+    dealt = ranked.select(F.explode(blocks).alias("block_no"), "rank", "key", "form", "side", "title", "rare")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(compare(rows.sort_values("rank"), window), columns=["side", "form", "other", "confidence"])
-
-    found = dealt.groupBy("block_no").applyInPandas(run, "side int, form long, other long, confidence double")
-    return found.groupBy("side", "form", "other").agg(F.max("confidence").alias("confidence"))
+        return pd.DataFrame(compare(rows.sort_values("rank"), window), columns=["a", "b"])
+
+    near = dealt.groupBy("block_no").applyInPandas(run, "a long, b long")
+    equal = titles.where("side = 1").select(F.col("form").alias("a"), F.col("form").alias("b"))
+    paired = cut(near.unionByName(common_pairs(titles, top)).unionByName(equal).distinct())
+    of = each.select(F.xxhash64("title").alias("a"), "side", "form", "title", "year", "venue")
+    works = of.where("side = 1").select(F.col("a").alias("b"), F.col("form").alias("other"), F.col("title").alias("t"), F.col("year").alias("y"), F.col("venue").alias("v"))
+    both = paired.join(of, "a").join(works, "b").where("form <> other")
+    return both.select("side", "form", "other", _confidence("title", "year", "venue", "t", "y", "v").alias("confidence")).where(F.col("confidence") >= LEAST)
 
 
 def match(refs: DataFrame, works: DataFrame) -> DataFrame:

@@ -66,3 +66,22 @@ def test_blocks_lose_nothing(spark, rows):
     one = rows(M.neighbours(each), "form", "other")
     many = rows(M.neighbours(each, block=M.RARE * 2 + 100), "form", "other")
     assert one == many and len(one) >= 150
+
+
+def test_work_cited_under_many_forms(spark, rows):
+    hot = "Overview of common words beside ranking"
+    refs = [(hot, str(1900 + k % 120), f"Venue{'abcdefghij'[k % 10]} {'klmnopqrst'[k // 100]} {'uvwxyzabcd'[k // 10 % 10]}") for k in range(M.RARE * 2)]
+    works = [(hot, "2001", "Venue"), ("Overview of common words besides ranking", "2001", "Venue")]
+    a, b = frames(spark, refs, works)
+    each = M.forms(a, b)[0].cache()
+    forms = [(r.form, M.Title(r.title), r.year, r.venue, r.side) for r in each.collect()]
+    want = sorted((f[0], w[0]) for f in forms for w in forms if w[4] == 1 and f[0] != w[0] and M.confidence(f[1:4], w[1:4]) >= M.LEAST)
+    assert len(want) > M.RARE and sorted(rows(M.neighbours(each), "form", "other")) == want
+
+
+def test_common_words_lose_nothing(spark, rows):
+    pad = lambda k: "".join("bdfgklmnpr"[int(c)] + "a" for c in f"{k:03}")
+    typed = "Towards xommon ranking {} measures of protein"
+    works = [(f"Towards common ranking {pad(k)} measures of protein", "2001", "V") for k in range(M.RARE + 100)]
+    a, b = frames(spark, [("Towards common ranking zzzz measures of protein", "2001", "V"), (typed.format("yzzz"), "2001", "V")], [*works, ("Towards common ranking zzzz measures of protein", "2001", "V")])
+    assert [w for r, w in rows(M.found(a, b))] == [100 + len(works) + 1] * 2
