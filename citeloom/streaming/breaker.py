@@ -80,18 +80,23 @@ def unseen(stream: DataFrame, key: str, ts: str, lateness: str = "1 hour") -> Da
 
 
 def replay(spark: SparkSession, d: str) -> DataFrame:
-    """(mode, admitted, n): all events as calls through per-type breakers, by the batch twin of the stream.
+    """(mode, admitted, n): all events as calls through one breaker per registry, which props name, by the batch twin of the stream.
 
-    Calls are folded in order of time per event type and day, so no task holds a whole type.
+    Each registry's calls are sorted by time and read in batches; the state goes on from
+    batch to batch, so nothing is forgotten at midnight and no task holds a whole registry.
     """
-    day = F.date_trunc("day", "ts")
-    calls = table(spark, d, "events").select(F.concat("props", F.lit(":"), day.cast("string")).alias("registry"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_type") != "error").alias("ok"))
+    calls = table(spark, d, "events").select(F.col("props").alias("registry"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", (F.col("event_type") != "error").alias("ok"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state = {"mode": "closed", "opened": 0.0, "failed": []}
-        rows = rows.sort_values("us")
-        out = [step(state, t / 1e6, bool(ok), 2, 86400.0, 3600.0) for t, ok in zip(rows.us, rows.ok)]
-        return pd.DataFrame(out, columns=["admitted", "mode"])
-
-    folded = calls.groupBy("registry").applyInPandas(run, "admitted boolean, mode string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        registry, state = object(), {}
+        for rows in batches:
+            out = []
+            for r, t, ok in zip(rows.registry, rows.us, rows.ok):
+                if r != registry:
+                    registry, state = r, {"mode": "closed", "opened": 0.0, "failed": []}
+                out.append(step(state, t / 1e6, bool(ok), 2, 86400.0, 3600.0))
+            yield pd.DataFrame(out, columns=["admitted", "mode"])
+
+    ordered = calls.repartition("registry").sortWithinPartitions("registry", "us", "event_id").select("registry", "us", "ok")
+    folded = ordered.mapInPandas(run, "admitted boolean, mode string")
     return folded.groupBy("mode", "admitted").agg(F.count("*").alias("n"))

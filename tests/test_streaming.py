@@ -60,3 +60,10 @@ def test_cache_stream(spark, tmp_path):
     q.stop()
     got = sorted((r.key, r.ts, r.hit) for r in spark.sql("SELECT * FROM cache_out").collect())
     assert got == [("j", 3.0, False), ("k", 0.0, False), ("k", 5.0, True), ("k", 11.0, False), ("k", 12.0, True)]
+
+
+def test_replay_goes_on_after_midnight(spark, rows, tmp_path):
+    calls = [("2024-01-01 23:50:00", "error", "a"), ("2024-01-02 00:10:00", "error", "a"), ("2024-01-02 00:20:00", "view", "a"), ("2024-01-02 00:20:00", "view", "b")]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(calls)], "event_id long, ts string, event_type string, props string")
+    df.selectExpr("event_id", "CAST(ts AS timestamp) AS ts", "event_type", "props").write.parquet(str(tmp_path / "events.parquet"))
+    assert rows(breaker.replay(spark, str(tmp_path)), "mode", "admitted", "n") == [("closed", True, 2), ("open", False, 1), ("open", True, 1)]
