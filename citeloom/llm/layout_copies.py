@@ -130,10 +130,8 @@ def entry_copies(entries: DataFrame, id_col: str = "entry_id", raw_col: str = "r
     parts = turned.withColumn("p", F.split("head", r"(?<=\.) ")).withColumn("own", key(_sequence(F.concat_ws(" ", F.lit("C:"), "rest"))))
     # one row per distinct text: equal texts are turned once
     once = parts.groupBy("own").agg(F.min(F.struct("year", "doi", "p", "tail")).alias("x")).select("own", "x.*")
-    # the title ends no later than the first initial, the authors anywhere after it
-    initial = F.array_position(F.transform("p", lambda x: x.rlike(r"(?<!\p{L})\p{L}\.*,?$")), True).cast("int")
-    last = F.greatest(F.lit(1), F.when(initial > 0, F.least(initial, F.size("p") - 2)).otherwise(F.size("p") - 2))
-    titles = once.where(F.size("p") > 2).select("own", "year", "doi", "tail", "p", F.explode(F.sequence(F.lit(1), last)).alias("i"))
+    # the title may end at any piece, for it may hold single letters too, the authors anywhere after it
+    titles = once.where(F.size("p") > 2).select("own", "year", "doi", "tail", "p", F.explode(F.sequence(F.lit(1), F.size("p") - 2)).alias("i"))
     ends = titles.select("*", F.explode(F.sequence(F.col("i") + 1, F.size("p") - 1)).alias("j"))
     order = F.concat_ws(" ", F.slice("p", F.col("i") + 1, F.col("j") - F.col("i")), F.slice("p", F.lit(1), F.col("i")), F.slice("p", F.col("j") + 1, F.size("p")), F.col("tail"))
     tried = ends.select("own", key(_sequence(order)).alias("key"))

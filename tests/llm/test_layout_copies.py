@@ -44,3 +44,9 @@ def test_hot_group(spark, rows):
     df = spark.range(5000).selectExpr("id AS ref_id", "if(id % 3 = 0, 'same', concat('t', id)) AS title", "cast(NULL AS string) AS doi")
     got = rows(L.bib_copies(df), "keep_id", "copies")
     assert len(got) == 1666 and set(got) == {(0, 1666)}
+
+
+def test_title_with_single_letters(spark, rows):
+    pairs = [("E. coli growth under stress. Smith, J. Nature, 2001; 4(2): 1-9.", "Smith, J. (2001). E. coli growth under stress. Nature, 4(2), 1-9."), ("Vitamin C. A trial. Smith, J. Nature, 2001; 4(2): 1-9.", "Smith, J. (2001). Vitamin C. A trial. Nature, 4(2), 1-9.")]
+    for pair in pairs:
+        assert rows(L.entry_copies(entries(spark, list(pair))), "keep_id", "copy_id") == [(1, 2)]
