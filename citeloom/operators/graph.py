@@ -27,17 +27,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     both = cut(pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("src"), F.min("dst")).alias("component"))
-    labels = cut(labels)
+    now = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("src"), F.min("dst")).alias("component")))
     while True:
+        labels = now.select("id", "component")
         near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         low = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
-        new = cut(low.join(jump, "low", "left").select("id", "component", F.least("low", F.coalesce("far", "low")).alias("new")))
-        moved = new.where("new <> component").limit(1).count()
-        labels = new.select("id", F.col("new").alias("component"))
-        if not moved:
-            return labels
+        new = low.join(jump, "low", "left").select("id", "component", F.least("low", F.coalesce("far", "low")).alias("new"))
+        now = cut(new.select("id", F.col("new").alias("component"), (F.col("new") != F.col("component")).alias("moved")), now)
+        if not now.where("moved").limit(1).count():
+            return now.select("id", "component")
 
 
 def mutual(edges: DataFrame) -> DataFrame:
