@@ -1,22 +1,28 @@
-"""Variant spellings of names: marks and n-gram vectors, joins without a cap, average linkage.
-
-Persons' spellings meet under their surname with each letter left out, told apart by the
-initials of the given name, for a surname says little beside another given name; any two
-whose parts agree share such a mark. Organisations get vectors of character n-grams
-weighted by rarity; a prefix filter finds every pair above a low cosine, exactly and without
-a cap: of each vector only the rarest n-grams are joined, as many as the threshold needs,
-and words more than two edits apart are dropped inside the join. Beside that they meet
-under one word and the initials of the others, which abbreviations and acronyms keep.
-Pairs whose parts contradict each other get no link. Spellings with a full given name are
-then clustered by average linkage within what the links connect; initials join a cluster
-only where it is the one that fits. Bare surnames, which have no initials, are joined to
-the clusters' surnames: equal ones, else the one near enough.
+"""Variant spellings of names: weighted n-gram vectors, sparse cosine joins, average linkage.
+
+Spellings that read alike (case, accents, TeX, order of the parts) are one form. A form has
+a vector of character n-grams weighted by rarity, hashed into a table of fixed length.
+The join runs on the rarest part of the vectors, the grams with one letter left out: any two
+surnames that are one slip apart share one, so the candidates are complete without a cap.
+They are joined among the different surnames first, and forms then meet under a surname (or
+one a slip away) and a mark of the given name; organisations under a word, or one with a
+letter left out, and the initials of the others. Pairs whose parts contradict each other
+get no link; the others have the mean of their cosine and the agreement of their parts.
+
+Each form's best links lead the search for connected groups, what else there is only
+joins groups that are still apart. Forms with a full given name are clustered by average
+linkage within their group, groups of any size by rounds of mutually nearest clusters.
+Initials join a cluster only where it is the one that fits, and bare surnames, which have
+no initials, the one entity that has the surname, or else one a slip away.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import unicodedata
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,15 +30,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.session import cut
+from citeloom.session import cut, drop
 
-GRAM = 4  # characters of an n-gram
-COSINE = 0.3  # pairs below are never compared further
-COMMON = 8  # an n-gram weighs no more than one of so many spellings, for slips make rare ones
+GRAM = 3  # characters of an n-gram
+BUCKETS = 1 << 16  # n-grams are hashed into so many, which bounds the table of their weights
+COMMON = 8  # an n-gram weighs no more than one of so many forms, for slips make rare ones
+TOP = 8  # best links of a form that lead the search for connected groups
 MERGE = 0.5  # clusters merge while their average likeness is at least this
+ALONE = 2_000  # links of a group that one task clusters; larger groups are clustered in rounds
 
 # Short forms of given names.
 NICKNAMES = {
@@ -87,20 +96,6 @@ def word_grams(word: str) -> list[str]:
     return [w[k : k + GRAM] for k in range(max(1, len(w) - GRAM + 1))]
 
 
-def features(name: str) -> list[tuple[str, str]]:
-    """Different (n-gram and initial of another word, word) of a spelling."""
-    words = _WORD.findall(fold(untex(name)))
-    out: dict[str, str] = {}
-    for i, w in enumerate(words):
-        if len(w) < 4:
-            continue
-        initials = {f[0] for j, v in enumerate(words) if j != i for f in formal(v)} or {""}
-        for g in word_grams(w):
-            for c in initials:
-                out.setdefault(f"{g}|{c}", w)
-    return sorted(out.items())
-
-
 def near(a: str, b: str) -> bool:
     """At most one edit or swap of neighbours apart."""
     if a == b:
@@ -127,13 +122,13 @@ def plain(word: str) -> str:
 class Name:
     """The parts of one spelling: an organisation's words, or ways to read a person's name."""
 
-    __slots__ = ("acronym", "body", "org", "readings", "spelling", "words")
+    __slots__ = ("acronym", "body", "org", "readings", "spelling", "vector")
 
     def __init__(self, spelling: str):
         self.spelling = spelling
         text = untex(spelling).strip()
         words = _WORD.findall(fold(text))
-        self.words = [w for w in words if w not in SMALL or (w in PARTICLES and w not in ("of", "for", "the", "and"))]
+        self.vector: dict[int, float] | None = None
         body = any(w in BODIES or w in SHORT_BODIES for w in words)
         self.org = body and len(words) >= 3 or (spelling.strip().startswith("{") and spelling.strip().endswith("}") and len(words) >= 3 and "\\" not in spelling)
         self.body = [w for w in words if w not in SMALL]
@@ -195,6 +190,23 @@ class Name:
     def bare(self) -> bool:
         return not self.org and all(not g for _, g in self.readings)
 
+    @property
+    def form(self) -> str:
+        """What the comparison sees: spellings of one form are alike to the same names."""
+        if self.org:
+            return f"o:{' '.join(sorted(self.body))}|{self.acronym}"
+        read = sorted({f"{s}, {' '.join(g)}" for s, g in self.readings if g or self.bare})
+        return f"p:{' / '.join(read)}|{' '.join(sorted(self.body))}|{self.acronym if len(self.body) > 1 else ''}"
+
+    def grams(self) -> list[str]:
+        """The n-grams of the words; an initial is a short word."""
+        if self.org or not self.readings:
+            words = self.body
+        else:
+            surname, given = self.readings[0]
+            words = [*surname.split(), *given]
+        return [g for w in words for g in word_grams(w)]
+
 
 def given_alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """How well the given names agree; 0 where they contradict each other."""
@@ -277,87 +289,71 @@ def alike(a: Name, b: Name) -> float:
     return best
 
 
-def likeness(names: list[Name]) -> np.ndarray:
-    """The symmetric table of likenesses."""
-    out = np.zeros((len(names), len(names)))
-    if len(names) < 12 or any(x.org for x in names):
-        pairs = ((i, j) for i in range(len(names)) for j in range(i))
-    else:
-        # what agrees shares a mark
-        marked: dict[str, list[int]] = defaultdict(list)
-        for i, a in enumerate(names):
-            for mark in slip_keys(a):
-                marked[mark].append(i)
-        pairs = {(i, j) for at in marked.values() for k, i in enumerate(at) for j in at[:k]}
-    for i, j in pairs:
-        out[i, j] = out[j, i] = alike(names[i], names[j])
-    return out
+def bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode()) % BUCKETS
 
 
-def average_linkage(like: np.ndarray, least: float) -> list[int]:
-    """Cluster numbers after merging the most alike clusters while their average is at least `least`."""
-    n = len(like)
-    if n > 1 and (like + np.eye(n) >= least).all():
-        return [0] * n  # every merge would pass
-    label = list(range(n))
-    size = np.ones(n)
-    s = like.astype(float).copy()
-    np.fill_diagonal(s, -1)
-    alive = np.ones(n, dtype=bool)
-    while alive.sum() > 1:
-        at = int(s.argmax())
-        i, j = divmod(at, n)
-        if s[i, j] < least:
-            break
-        merged = (s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j])
-        s[i], s[:, i] = merged, merged
-        s[i, i] = -1
-        s[j], s[:, j] = -1, -1
-        size[i] += size[j]
-        alive[j] = False
-        label = [i if x == j else x for x in label]
-    return label
-
-
-def cluster(spellings: list[str]) -> list[int]:
-    """Cluster number of each spelling of one connected group; -1 for what fits no single cluster."""
-    names = [read(s) for s in spellings]
-    # names without a full given name, and bare ones, come later
-    full = [k for k, x in enumerate(names) if x.full]
-    out = [-1] * len(names)
-    if full:
-        for k, c in zip(full, average_linkage(likeness([names[k] for k in full]), MERGE)):
-            out[k] = full[c]
-    groups: dict[int, list[int]] = defaultdict(list)
-    for k, c in enumerate(out):
-        if c >= 0:
-            groups[c].append(k)
-    surnames = {c: {r[0] for k in ks for r in names[k].readings} for c, ks in groups.items()}
-
-    def fits(k: int, exact: bool) -> list[int]:
-        mine = {r[0] for r in names[k].readings}
-        good = []
-        for c, ks in groups.items():
-            if exact and not mine & surnames[c]:
-                continue
-            likes = [alike(names[k], names[m]) for m in ks]
-            if sum(x > 0 for x in likes) * 2 >= len(ks):
-                good.append(c)
-        return good
-
-    # forms with initials only: to the one cluster they fit, else together
-    initials = [k for k, x in enumerate(names) if out[k] < 0 and not x.bare]
-    loose = []
-    for k in initials:
-        good = fits(k, True) or fits(k, False)
-        if len(good) == 1:
-            out[k] = good[0]
-        elif not good:
-            loose.append(k)
-    if loose:
-        for k, c in zip(loose, average_linkage(likeness([names[k] for k in loose]), MERGE)):
-            out[k] = loose[c]
-    return out
+def vector(name: Name, weight: np.ndarray) -> dict[int, float]:
+    """The unit vector of a name's n-grams; kept with the name."""
+    if name.vector is None:
+        sums: dict[int, float] = defaultdict(float)
+        for g in name.grams():
+            k = bucket(g)
+            sums[k] += float(weight[k])
+        norm = math.sqrt(sum(x * x for x in sums.values())) or 1.0
+        name.vector = {k: x / norm for k, x in sums.items()}
+    return name.vector
+
+
+def cosine(a: Name, b: Name, weight: np.ndarray) -> float:
+    x, y = vector(a, weight), vector(b, weight)
+    if len(x) > len(y):
+        x, y = y, x
+    return sum(w * y[k] for k, w in x.items() if k in y)
+
+
+def likeness(a: Name, b: Name, weight: np.ndarray) -> float:
+    """The mean of cosine and agreement of the parts; 0 where the parts contradict each other."""
+    agree = alike(a, b)
+    return (agree + cosine(a, b, weight)) / 2 if agree else 0.0
+
+
+def average_linkage(links: list[tuple[int, int, float]], least: float = MERGE) -> dict[int, int]:
+    """node -> smallest node of its cluster, after merging the most alike clusters.
+
+    links (a, b, likeness) hold each pair once, pairs without one have likeness 0. Clusters
+    merge while the average over all their pairs is at least `least`; of equal averages the
+    pair with the smallest nodes comes first.
+    """
+    total: dict[int, dict[int, float]] = defaultdict(dict)
+    for a, b, w in links:
+        total[a][b] = total[b][a] = w
+    size = dict.fromkeys(total, 1)
+    label = {n: n for n in total}
+    heap = [(-w, min(a, b), max(a, b)) for a, b, w in links if w >= least]
+    heapq.heapify(heap)
+    while heap:
+        w, a, b = heapq.heappop(heap)
+        if a not in size or b not in size or b not in total[a] or -w != total[a][b] / (size[a] * size[b]):
+            continue  # of clusters that have changed since
+        for other, x in total.pop(b).items():
+            del total[other][b]
+            if other != a:
+                total[a][other] = total[other][a] = total[a].get(other, 0.0) + x
+        size[a] += size.pop(b)
+        label[b] = a
+        for other, x in total[a].items():
+            average = x / (size[a] * size[other])
+            if average >= least:
+                heapq.heappush(heap, (-average, min(a, other), max(a, other)))
+
+    def root(n: int) -> int:
+        while label[n] != n:
+            label[n] = label[label[n]]
+            n = label[n]
+        return n
+
+    return {n: root(n) for n in label}
 
 
 def surname_keys(name: Name) -> list[str]:
@@ -382,22 +378,18 @@ def given_keys(given: tuple[str, ...]) -> set[str]:
     return out
 
 
-def slip_keys(name: Name) -> list[str]:
-    """Marks of a person's spelling: any two that alike() accepts share one.
+def person_keys(name: Name) -> list[tuple[str, str]]:
+    """(surname, mark of the given name) of each reading, with and without particles.
 
-    Strings one edit or swap apart become equal when the right letter is left out of each
-    or of one. Surnames below five letters may have no slip and stand under themselves, as
-    do those that are given names elsewhere.
+    Any two persons' spellings that alike() accepts share a mark under one surname, or
+    under two of at least five letters that are one slip apart.
     """
-    out: set[str] = set()
+    out: set[tuple[str, str]] = set()
     for s, given in name.readings:
-        if not given:
-            continue
-        head, _, last = s.rpartition(" ")
-        forms = {s, last} if all(w in PARTICLES or w == last for w in head.split()) else {s}
-        if len(s) >= 5:
-            forms |= {plain(s)} | {s[:k] + s[k + 1 :] for k in range(len(s))}
-        out.update(f"{f}|{g}" for f in forms for g in given_keys(given))
+        if given:
+            head, _, last = s.rpartition(" ")
+            surnames = {s, last} if all(w in PARTICLES or w == last for w in head.split()) else {s}
+            out.update((x, g) for x in surnames for g in given_keys(given))
     return sorted(out)
 
 
@@ -435,25 +427,22 @@ def typed_names(refs: DataFrame, entries: DataFrame, matches: DataFrame) -> Data
     return each[0].unionByName(each[1]).unionByName(each[2]).select(trimmed.alias("name")).where("name <> ''").distinct()
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("word", T.StringType())])))
-def _features(names: pd.Series) -> pd.Series:
-    return names.map(lambda n: [{"gram": g, "word": w} for g, w in features(n)])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _word_grams(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: list(dict.fromkeys(word_grams(w))))
-
-
 _LISTS = T.ArrayType(T.StringType())
+_KEYS = T.ArrayType(T.StructType([T.StructField("surname", T.StringType()), T.StructField("mark", T.StringType())]))
 
 
-@F.pandas_udf(T.StructType([T.StructField("bare", T.BooleanType()), T.StructField("org", T.BooleanType()), *(T.StructField(k, _LISTS) for k in ("keys", "slips", "body"))]))
+@F.pandas_udf(
+    T.StructType(
+        [T.StructField(k, T.BooleanType()) for k in ("bare", "org", "whole")] + [T.StructField("form", T.StringType()), T.StructField("keys", _LISTS), T.StructField("person", _KEYS), T.StructField("body", _LISTS)]
+    )
+)
 def _parts(names: pd.Series) -> pd.DataFrame:
-    """Whether a spelling is a bare surname or an organisation's, its surnames, and its marks as either."""
+    """What a spelling is: a bare surname or an organisation's, with a full given name or not; its form, surnames and marks."""
     found = [Name(n) for n in names]
-    slips = [[] if x.org or x.bare else slip_keys(x) for x in found]
-    return pd.DataFrame({"bare": [x.bare for x in found], "org": [x.org for x in found], "keys": [surname_keys(x) for x in found], "slips": slips, "body": [body_keys(x) for x in found]})
+    person = [[] if x.org or x.bare else [{"surname": s, "mark": g} for s, g in person_keys(x)] for x in found]
+    return pd.DataFrame(
+        {"bare": [x.bare for x in found], "org": [x.org for x in found], "whole": [x.full for x in found], "form": [x.form for x in found], "keys": [surname_keys(x) for x in found], "person": person, "body": [body_keys(x) for x in found]}
+    )
 
 
 _read: dict[str, Name] = {}
@@ -469,96 +458,190 @@ def read(spelling: str) -> Name:
     return got
 
 
-@F.pandas_udf(T.DoubleType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([alike(read(x), read(y)) for x, y in zip(a, b)], dtype=float)
-
-
 @F.pandas_udf(T.BooleanType())
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([near(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
-def vectors(names: DataFrame, given: DataFrame | None = None) -> DataFrame:
-    """(id, name, v): unit vectors of n-grams, the rarest first, as arrays of (df, gram, word, w); words of `given` (word) are left out."""
-    held = names.select(F.xxhash64("name").alias("id"), "name")
-    grams = held.select("id", F.explode(_features("name")).alias("f")).select("id", "f.gram", "f.word")
-    grams = grams if given is None else grams.join(given, "word", "left_anti")
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    total = F.lit(float(max(1, held.count())))
-    weighed = grams.join(df, "gram").withColumn("w", F.log(1 + total / F.greatest(F.col("df"), F.lit(COMMON))))
-    v = weighed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "word", "w"))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.w * x.w))
-    unit = F.transform("v", lambda x: F.struct(x.df.alias("df"), x.gram.alias("gram"), x.word.alias("word"), (x.w / F.col("norm")).alias("w")))
-    return held.join(v.withColumn("norm", norm).select("id", unit.alias("v")), "id")
-
-
-def prefix(v: str, least: float) -> Column:
-    """The rarest n-grams of a vector with their words, up to where the rest cannot reach `least`."""
-    # the length of what follows each place, from the back
-    squares = F.aggregate(
-        F.reverse(v), F.array().cast("array<double>"), lambda acc, x: F.concat(F.array(F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0)) + x.w * x.w), acc)
-    )
-    # an n-gram belongs to the prefix while it and all behind it can still reach the threshold
-    keep = F.filter(F.arrays_zip(F.transform(v, lambda x: F.struct(x.gram, x.word)).alias("g"), squares.alias("s")), lambda z: z.s >= least * least - 1e-9)
-    return F.transform(keep, lambda z: z.g)
+    return pd.Series([near(x, y) or plain(x) == plain(y) for x, y in zip(a, b)], dtype=bool)
 
 
-def links(vecs: DataFrame, least: float = COSINE) -> DataFrame:
-    """(a, b, cosine), a < b: all pairs of vectors of at least this cosine whose parts agree.
+def gram_weights(forms: DataFrame) -> np.ndarray:
+    """The weight of each bucket of n-grams by the number of forms (rep) that have one.
 
-    Words must be one edit or swap apart inside the join; the parts are compared next, and
-    the cosine is summed over the shared n-grams of the few pairs that are left.
+    Counted in the tasks; the driver receives at most one number per bucket.
     """
-    marks = vecs.select("id", F.explode(prefix("v", least)).alias("g")).select("id", "g.gram", "g.word")
-    a, b = (marks.select("gram", F.col("id").alias(k), F.col("word").alias(f"word_{k}")) for k in "ab")
-    slips = F.levenshtein("word_a", "word_b", 2)
-    swapped = F.array_sort(F.split("word_a", "")) == F.array_sort(F.split("word_b", ""))
-    near_words = (F.abs(F.length("word_a") - F.length("word_b")) < 2) & (slips >= 0) & ((slips < 2) | swapped)
-    met = a.join(b, "gram").where(F.col("a") < F.col("b")).where(near_words).select("a", "b").distinct()
-    name = vecs.select("id", "name")
-    both = met.join(name.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a").join(name.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b")
-    agree = cut(both.where(_alike("name_a", "name_b") > 0).select("a", "b"))
-    weights = vecs.select("id", F.explode("v").alias("x")).select("id", "x.gram", "x.w")
-    left = agree.join(weights.select(F.col("id").alias("a"), "gram", F.col("w").alias("wa")), "a")
-    shared = left.join(weights.select(F.col("id").alias("b"), "gram", F.col("w").alias("wb")), ["b", "gram"])
-    return shared.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
-
-
-def slip_links(whole: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of spellings (name, org, slips, body) that share a mark and whose parts agree.
-
-    Marks of organisations' words count only where one of the two is an organisation's.
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS + 1, dtype=np.int64)  # the last one counts the forms
+        for batch in batches:
+            for rep in batch.column(0).to_pylist():
+                seen[BUCKETS] += 1
+                for k in {bucket(g) for g in Name(rep).grams()}:
+                    seen[k] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
+
+    rows = forms.select("rep").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(BUCKETS + 1)
+    for r in rows:
+        n[r.bucket] = r.n
+    return np.log1p(max(n[BUCKETS], 1.0) / np.maximum(n[:BUCKETS], COMMON))
+
+
+def gapped(word: str) -> Column:
+    """Hashes of a word and of the word with each letter left out."""
+    w, n = F.col(word), F.length(word)
+    cut_out = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, n)))
+    return F.array_distinct(F.transform(F.concat(F.array(w, F.regexp_replace(w, "([aou])e", "$1")), cut_out), lambda x: F.xxhash64(x)))
+
+
+def slips(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): different words of left (word) and right (word), of at least five letters, that are one slip apart.
+
+    Strings one edit or swap apart become equal when the right letter is left out of each
+    or of one, so joining these gapped grams loses none.
+    """
+    marks = [x.where(F.length("word") >= 5).select(F.col("word").alias(k), F.explode(gapped("word")).alias("gram")) for k, x in (("a", left), ("b", right))]
+    met = marks[0].join(marks[1], "gram").where("a <> b").where(F.abs(F.length("a") - F.length("b")) < 3).select("a", "b").distinct()
+    return met.where(_near("a", "b"))
+
+
+def links(forms: DataFrame, weight: np.ndarray) -> DataFrame:
+    """(a, b, likeness, same, whole_a, whole_b), a < b: all pairs of forms that share a mark and agree.
+
+    forms: (id, rep, org, whole, person, body). same: whether they share a surname.
     """
-    ids = whole.select(F.xxhash64("name").alias("id"), "org", "slips", "body")
-    persons = cut(ids.select("id", F.explode("slips").alias("mark")).select("id", F.xxhash64("mark").alias("mark")))
-    bodies = ids.select("id", "org", F.explode("body").alias("mark")).select("id", "org", F.xxhash64("mark").alias("mark"))
-    near_persons = persons.select("mark", F.col("id").alias("a")).join(persons.select("mark", F.col("id").alias("b")), "mark").where("a < b").select("a", "b")
-    near_bodies = bodies.where("org").select("mark", F.col("id").alias("x")).join(bodies.select("mark", F.col("id").alias("y")), "mark").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    met = near_persons.unionByName(near_bodies).distinct()
-    name = whole.select(F.xxhash64("name").alias("id"), "name")
-    both = met.join(name.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a").join(name.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b")
-    return both.where(_alike("name_a", "name_b") > 0).select("a", "b")
-
-
-def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+    persons = cut(forms.select("id", F.explode("person").alias("p")).select("id", "p.surname", "p.mark"))
+    words = persons.select(F.col("surname").alias("word")).distinct()
+    moved = slips(words, words).where("a < b").join(persons.withColumnRenamed("surname", "a"), "a").select(F.col("b").alias("surname"), "mark", "id")
+    key = F.xxhash64("surname", "mark").alias("key")
+    stay = persons.select(key, F.col("id").alias("y"))
+    here, there = persons.select(key, F.col("id").alias("x"), F.lit(True).alias("here")), moved.select(key, F.col("id").alias("x"), F.lit(False).alias("here"))
+    of_persons = here.unionByName(there).join(stay, "key").where("x < y OR x > y AND NOT here").select("x", "y")
+    bodies = forms.select("id", "org", F.explode("body").alias("mark")).select("id", "org", F.xxhash64("mark").alias("key"))
+    # marks of words count only where one of the two is an organisation's
+    of_bodies = bodies.where("org").select("key", F.col("id").alias("x")).join(bodies.select("key", F.col("id").alias("y")), "key").where("x <> y").select("x", "y")
+    met = of_persons.unionByName(of_bodies).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    shared = forms.sparkSession.sparkContext.broadcast(weight)  # BUCKETS numbers
+
+    @F.pandas_udf("struct<likeness: double, same: boolean>")
+    def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        both = [(read(x), read(y)) for x, y in zip(a, b)]
+        same = [not {s for s, _ in x.readings}.isdisjoint(s for s, _ in y.readings) for x, y in both]
+        return pd.DataFrame({"likeness": [likeness(x, y, shared.value) for x, y in both], "same": same})
+
+    side = {k: forms.select(F.col("id").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("whole").alias(f"whole_{k}")) for k in "ab"}
+    scored = met.join(side["a"], "a").join(side["b"], "b").withColumn("c", compared("rep_a", "rep_b"))
+    return scored.where("c.likeness > 0").select("a", "b", "c.likeness", "c.same", "whole_a", "whole_b")
+
+
+def spread(pairs: DataFrame) -> DataFrame:
     """(id, root): the smallest id that pairs (a, b) connect each id to.
 
     Labels spread along links and jump to their label's label, so chains of any length
-    settle in few rounds; each round is written to the checkpoint folder.
+    settle in few rounds; each round is written to the shared folder.
     """
     both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"))
-    for _ in range(rounds):
-        seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        spread = labels.join(seen.withColumnRenamed("a", "id"), "id").select("id", F.least("root", "near").alias("low"), "root")
+    now = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("id"), "root", F.lit(True).alias("moved")))
+    while True:
+        labels = now.select("id", "root")
+        near_by = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        low = labels.join(near_by.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("root", F.coalesce("near", "root")).alias("low"), "root")
         jump = labels.select(F.col("id").alias("low"), F.col("root").alias("far"))
-        new = cut(spread.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("new"), "root"))
-        changed = new.where("new <> root").limit(1).count()
-        labels = new.select("id", F.col("new").alias("root"))
-        if not changed:
-            break
-    return labels
+        new = low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("new"), "root")
+        now = cut(new.select("id", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")), now)
+        if not now.where("moved").limit(1).count():
+            drop(both)
+            return now.select("id", "root")
+
+
+def components(pairs: DataFrame, top: int = TOP) -> DataFrame:
+    """(id, root): what pairs (a, b, likeness) connect.
+
+    The rounds run on each id's `top` best links. Other links change nothing but where they
+    connect two groups; those few are what a second search starts from, so none is lost.
+    """
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id"))))
+    each = pairs.select("a", "b", "likeness", ends.alias("e")).select("a", "b", "likeness", "e.id")
+    best = W.partitionBy("id").orderBy(F.desc("likeness"), "a", "b")
+    ranked = each.withColumn("rank", F.row_number().over(best)).groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    ranked = cut(ranked)
+    labels = spread(ranked.where(F.col("rank") <= top))
+    side = lambda k: labels.select(F.col("id").alias(k), F.col("root").alias(f"root_{k}"))
+    rest = ranked.where(F.col("rank") > top).join(side("a"), "a").join(side("b"), "b").where("root_a <> root_b")
+    apart = cut(rest.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    if not apart.limit(1).count():
+        return labels
+    joined = spread(apart).select(F.col("id").alias("root"), F.col("root").alias("last"))
+    return labels.join(joined, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+
+
+def merge_rounds(pairs: DataFrame, least: float = MERGE) -> DataFrame:
+    """(id, cluster) of the average linkage of pairs (a, b, likeness), without a group in one task.
+
+    In each round every cluster asks for the one it is most alike to, and those that ask
+    for each other merge: average linkage gives the same clusters in whatever order mutually
+    nearest ones merge. Sums of likeness and sizes are all that is carried on.
+    """
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("cluster")))
+    sums = cut(pairs.select("a", "b", F.col("likeness").alias("total")))
+    while True:
+        size = nodes.groupBy("cluster").agg(F.count("*").alias("n"))
+        of = lambda k: size.select(F.col("cluster").alias(k), F.col("n").alias(f"n_{k}"))
+        open_ = sums.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("total") / (F.col("n_a") * F.col("n_b"))).alias("average")).where(F.col("average") >= least)
+        ends = F.explode(F.array("a", "b")).alias("me")
+        # of equal averages the pair with the smallest ids comes first, the same pair on both sides
+        wish = open_.select("a", "b", "average", ends).groupBy("me").agg(F.max(F.struct("average", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("w")).select((-F.col("w.x")).alias("a"), (-F.col("w.y")).alias("b"))
+        agreed = cut(wish.groupBy("a", "b").agg(F.count("*").alias("k")).where("k = 2").select("a", "b"))
+        if not agreed.limit(1).count():
+            return nodes
+        into = lambda k: agreed.select(F.col("b").alias(k), F.col("a").alias(f"into_{k}"))
+        nodes = cut(nodes.join(into("cluster"), "cluster", "left").select("id", F.coalesce("into_cluster", "cluster").alias("cluster")), nodes)
+        now = sums.join(into("a"), "a", "left").join(into("b"), "b", "left").select(F.coalesce("into_a", "a").alias("a"), F.coalesce("into_b", "b").alias("b"), "total").where("a <> b")
+        sums = cut(now.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum("total").alias("total")).select(F.col("x").alias("a"), F.col("y").alias("b"), "total"), sums)
+
+
+def linkage(pairs: DataFrame, alone: int = ALONE) -> DataFrame:
+    """(id, cluster) of all ids in pairs (a, b, likeness) by average linkage.
+
+    Groups of at most `alone` links are clustered by one task each, larger ones in rounds.
+    """
+    roots = components(pairs)
+    rooted = pairs.join(roots.select(F.col("id").alias("a"), "root"), "a").select("root", "a", "b", "likeness")
+    large = cut(rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > alone).select("root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Clusters of each run of links with one root; a run may go on in the next batch."""
+        root, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for r, *link in zip(*(c.to_pylist() for c in batch.columns)):
+                if r != root:
+                    out += average_linkage(held).items()
+                    root, held = r, []
+                held.append(tuple(link))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["id", "cluster"])
+        out = list(average_linkage(held).items())
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["id", "cluster"])
+
+    small = rooted.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root")
+    done = small.mapInArrow(run, "id long, cluster long")
+    if not large.limit(1).count():
+        return done
+    return done.unionByName(merge_rounds(rooted.join(large, "root", "left_semi")))
+
+
+def attached(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(id, fits, cluster) of the forms with initials only: how many clusters fit, and one of them.
+
+    edges: (a, b, same, whole_a, whole_b); clusters: (id, cluster) of the forms with a full
+    given name. A cluster fits where at least half its members agree; clusters that share
+    the surname count before others.
+    """
+    mixed = edges.where("whole_a <> whole_b").select(F.when(F.col("whole_a"), F.col("b")).otherwise(F.col("a")).alias("id"), F.when(F.col("whole_a"), F.col("a")).otherwise(F.col("b")).alias("member"), "same")
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    met = mixed.join(clusters.withColumnRenamed("id", "member"), "member").groupBy("id", "cluster").agg(F.count("*").alias("n"), F.max("same").alias("same"))
+    good = met.join(size, "cluster").where("n * 2 >= size")
+    by = good.groupBy("id", "same").agg(F.count("*").alias("fits"), F.min("cluster").alias("cluster"))
+    return by.groupBy("id").agg(F.max(F.struct("same", "fits", "cluster")).alias("x")).select("id", "x.fits", "x.cluster")
 
 
 def bare_entities(bare: DataFrame, known: DataFrame) -> DataFrame:
@@ -570,14 +653,11 @@ def bare_entities(bare: DataFrame, known: DataFrame) -> DataFrame:
     asked = bare.select("name", F.posexplode("keys").alias("rank", "key"))
     hits = asked.join(known, "key").select("name", "rank", "entity")
     first = hits.groupBy("name", "rank").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity"))
-    best = first.groupBy("name").agg(F.min(F.struct("rank", "n", "entity")).alias("b")).select("name", "b.n", "b.entity")
-    rest = asked.where(F.length("key") >= 5).join(best.select("name"), "name", "left_anti")
-    # n-grams of a surname one slip away: some of the rarest are shared
-    words = known.where(F.length("key") >= 5).select(F.col("key").alias("other")).distinct().select("other", F.explode(_word_grams("other")).alias("gram"))
-    mine = rest.select("key").distinct().select("key", F.explode(_word_grams("key")).alias("gram"))
-    close = mine.join(words, "gram").where(F.levenshtein("key", "other", 2) >= 0).select("key", "other").distinct().where(_near("key", "other"))
-    slips = rest.join(close, "key").join(known.withColumnRenamed("key", "other"), "other").groupBy("name").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity"))
-    return best.unionByName(slips).where("n = 1").select("name", "entity")
+    best = cut(first.groupBy("name").agg(F.min(F.struct("rank", "n", "entity")).alias("b")).select("name", "b.n", "b.entity"))
+    rest = asked.join(best.select("name"), "name", "left_anti")
+    close = slips(rest.select(F.col("key").alias("word")).distinct(), known.select(F.col("key").alias("word")).distinct())
+    far = rest.join(close.toDF("key", "other"), "key").join(known.withColumnRenamed("key", "other"), "other").groupBy("name").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity"))
+    return best.unionByName(far).where("n = 1").select("name", "entity")
 
 
 def entities(names: DataFrame) -> DataFrame:
@@ -587,37 +667,21 @@ def entities(names: DataFrame) -> DataFrame:
     none or several entities are left out; so are spellings alone, but for those that a
     bare surname stands for.
     """
-    parts = cut(names.withColumn("p", _parts("name")).select("name", "p.*"))
-    whole = parts.where(~F.col("bare"))
-    vecs = cut(vectors(whole.where("org").select("name")))
-    roots = components(cut(links(vecs).select("a", "b").unionByName(slip_links(whole)).distinct()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Clusters of each run of rows with one root; a run may go on in the next batch."""
-        root, held = None, []
-
-        def close() -> list[tuple[str, str]]:
-            held.sort()
-            return [(n, f"{root}:{held[c]}") for n, c in zip(held, cluster(held)) if c >= 0]
-
-        for batch in batches:
-            out = []
-            for r, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if r != root:
-                    out += close() if held else []
-                    root, held = r, []
-                held.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["name", "entity"])
-        out = close() if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["name", "entity"])
-
-    # the groups are small in bytes and dear in time: a fixed number of partitions keeps all cores at work
-    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    grouped = roots.join(whole.select(F.xxhash64("name").alias("id"), "name"), "id").repartition(spread, "root").sortWithinPartitions("root")
-    linked = cut(grouped.select("root", "name").mapInArrow(run, "name string, entity string"))
-    # a spelling without links is an entity alone
-    every = whole.join(linked, "name", "left").join(roots.select(F.col("id").alias("_id")), F.xxhash64("name") == F.col("_id"), "left")
-    owned = every.where(F.col("entity").isNotNull() | F.col("_id").isNull()).select("name", F.coalesce("entity", F.concat(F.lit("alone:"), "name")).alias("entity"), "keys")
+    # the names are small in bytes and dear in time: a fixed number of partitions keeps all cores at work
+    wide = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    parts = cut(names.repartition(wide, "name").withColumn("p", _parts("name")).select("name", "p.*").withColumn("id", F.xxhash64("form")))
+    read_ = parts.where("NOT bare")
+    forms = cut(read_.groupBy("id").agg(F.min_by(F.struct("name", "org", "whole", "person", "body"), "name").alias("x")).select("id", F.col("x.name").alias("rep"), "x.org", "x.whole", "x.person", "x.body"))
+    edges = cut(links(forms, gram_weights(forms)))
+    # what has a full given name first
+    linked = linkage(edges.where("whole_a AND whole_b").select("a", "b", "likeness"))
+    known = cut(forms.where("whole").select("id").join(linked, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")))
+    fits = cut(attached(edges, known))
+    loose = forms.where("NOT whole").select("id").join(fits.select("id"), "id", "left_anti")
+    among = edges.where("NOT whole_a AND NOT whole_b").join(loose.withColumnRenamed("id", "a"), "a", "left_semi").join(loose.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "likeness")
+    together = loose.join(linkage(cut(among)), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    cluster = known.unionByName(fits.where("fits = 1").select("id", "cluster")).unionByName(together)
+    owned = cut(read_.select("name", "id", "keys").join(cluster, "id").select("name", F.col("cluster").alias("entity"), "keys"))
     keys = owned.select("entity", F.explode("keys").alias("key")).distinct()
     bare = bare_entities(parts.where("bare").select("name", "keys"), keys)
     return owned.select("name", "entity").unionByName(bare)

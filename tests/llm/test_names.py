@@ -1,6 +1,8 @@
 import itertools
 import math
+import random
 
+import numpy as np
 import pytest
 
 from citeloom.llm import names as N
@@ -69,21 +71,30 @@ def test_empty_and_odd(spark):
     assert N.found(*tables(spark, odd, [[","], ["王"]], [["{}"]])).count() >= 0
 
 
-def test_links_against_all_pairs(spark):
-    typed = sorted({n for pair in SAME + OTHER for n in pair})
-    vecs = N.vectors(spark.createDataFrame([(n,) for n in typed], "name string"), spark.createDataFrame([], "word string")).collect()
-    held = {r.name: {x.gram: x.w for x in r.v} for r in vecs}
-    word = {r.name: {x.word for x in r.v} for r in vecs}
-    df = spark.createDataFrame([(r.id, r.name, [tuple(x) for x in r.v]) for r in vecs], "id long, name string, v array<struct<df:long,gram:string,word:string,w:double>>")
-    name = {r.id: r.name for r in vecs}
-    got = {frozenset((name[r.a], name[r.b])) for r in N.links(df, 0.3).collect()}
-    want = set()
-    for a, b in itertools.combinations(held, 2):
-        cosine = sum(w * held[b].get(g, 0) for g, w in held[a].items())
-        if cosine >= 0.3 and N.alike(N.Name(a), N.Name(b)) > 0 and any(N.near(x, y) for x in word[a] for y in word[b]):
-            want.add(frozenset((a, b)))
-    assert want and got == want
-    assert all(math.isclose(sum(w * w for w in v.values()), 1) for v in held.values())
+def forms_of(spark, typed):
+    by = {}
+    for x in map(N.Name, sorted(typed)):
+        if not x.bare:
+            by.setdefault(x.form, x)
+    keys = [(k, x.spelling, x.org, x.full, [tuple(p) for p in N.person_keys(x)] if not x.org else [], N.body_keys(x)) for k, x in enumerate(by.values())]
+    return spark.createDataFrame(keys, "id long, rep string, org boolean, whole boolean, person array<struct<surname:string,mark:string>>, body array<string>"), [x.spelling for x in by.values()]
+
+
+def all_links(spark, typed):
+    """Links between representatives, and what a comparison of all pairs gives."""
+    forms, reps = forms_of(spark, typed)
+    weight = N.gram_weights(forms)
+    got = {(reps[r.a], reps[r.b]): r.likeness for r in N.links(forms, weight).collect()}
+    want = {(a, b): N.likeness(N.Name(a), N.Name(b), weight) for a, b in itertools.combinations(reps, 2)}
+    return got, {p: x for p, x in want.items() if x > 0}
+
+
+def test_vectors():
+    weight = np.ones(N.BUCKETS)
+    x = N.vector(N.Name("Nesgebi, Frederik"), weight)
+    assert math.isclose(sum(w * w for w in x.values()), 1)
+    assert math.isclose(N.cosine(N.Name("Nesgebi, Frederik"), N.Name("NESGEBI, Frederik"), weight), 1)
+    assert N.cosine(N.Name("Nesgebi, Frederik"), N.Name("Torvik, Anna"), weight) < 0.2
 
 
 SLIPS = [
@@ -92,13 +103,72 @@ SLIPS = [
 ]
 
 
-def test_every_accepted_slip_is_reached(spark):
-    typed = sorted({n for pair in SLIPS + SAME + OTHER for n in pair})
-    whole = spark.createDataFrame([(x.spelling, x.org, [] if x.org else N.slip_keys(x), N.body_keys(x)) for x in map(N.Name, typed)], "name string, org boolean, slips array<string>, body array<string>")
-    name = {r.id: r.name for r in whole.selectExpr("xxhash64(name) AS id", "name").collect()}
-    got = {frozenset((name[r.a], name[r.b])) for r in N.slip_links(whole).collect()}
-    want = {frozenset(p) for p in itertools.combinations(name.values(), 2) if N.alike(*map(N.Name, p)) > 0}
-    assert got == want and all(frozenset(p) in got for p in SLIPS)
+def test_links_against_all_pairs(spark):
+    got, want = all_links(spark, {n for pair in SLIPS + SAME + OTHER for n in pair})
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p]) for p in got)
+
+
+@pytest.mark.parametrize("length", [2, 3, 4, 5, 6, 8, 11])
+def test_links_by_surname_length(spark, length):
+    rng = random.Random(length)
+    given = ["Anna", "Bob", "Robert", "Wei", "Li", "Soo-Jin", "Kate", "J.", "W."]
+    typed = set()
+    for _ in range(12):
+        s = "".join(rng.choice("abcdegiklmnorstu") for _ in range(length))
+        k = rng.randrange(length)
+        slip = rng.choice([s[:k] + s[k + 1 :], s[:k] + "x" + s[k:], s[:k] + "x" + s[k + 1 :], s[:k] + s[k + 1 : k + 2] + s[k : k + 1] + s[k + 2 :]])
+        for x in (s, slip):
+            if x:
+                g = rng.choice(given)
+                typed |= {f"{x.title()}, {g}", f"{g} {x.title()}", f"{x.upper()}, {rng.choice(given)}"}
+    got, want = all_links(spark, typed)
+    assert want and got.keys() == want.keys()
+
+
+def dense_linkage(n, links, least):
+    """Average linkage by comparing all clusters in every step."""
+    s = {frozenset(x[:2]): x[2] for x in links}
+    clusters = [[k] for k in range(n)]
+    while True:
+        best = max(((sum(s.get(frozenset((x, y)), 0) for x in a for y in b) / (len(a) * len(b)), -a[0], -b[0]) for a, b in itertools.combinations(clusters, 2)), default=(0,))
+        if best[0] < least:
+            return sorted(map(sorted, clusters))
+        a, b = (next(c for c in clusters if c[0] == -k) for k in best[1:])
+        clusters = sorted([*(c for c in clusters if c is not a and c is not b), sorted(a + b)])
+
+
+def grouped(labels):
+    out = {}
+    for n, c in labels:
+        out.setdefault(c, []).append(n)
+    return sorted(map(sorted, out.values()))
+
+
+def random_links(seed, n=24, m=90):
+    rng = random.Random(seed)
+    pairs = rng.sample(list(itertools.combinations(range(n), 2)), m) + [(a, a + 1) for a in range(n - 1)]
+    return [(a, b, round(0.3 + 0.7 * rng.random(), 9)) for a, b in sorted(set(pairs))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_average_linkage(seed):
+    links = random_links(seed)
+    assert grouped(N.average_linkage(links, 0.35).items()) == dense_linkage(24, links, 0.35)
+
+
+def test_large_groups_in_rounds(spark):
+    """A group too large for one task gets the clusters it would get there."""
+    links = [(a + 100 * k, b + 100 * k, w) for k in range(3) for a, b, w in random_links(k)]
+    df = spark.createDataFrame(links, "a long, b long, likeness double")
+    here = grouped(N.linkage(df).collect())
+    assert here == grouped(N.linkage(df, alone=10).collect()) == grouped(N.average_linkage(links).items())
+
+
+def test_components(spark):
+    links = [(0, k, 1 - k / 1000) for k in range(1, 40)] + [(k, k + 1, 0.9) for k in range(100, 160)] + [(39, 160, 0.1), (300, 301, 0.5)]
+    df = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in links], "a long, b long, likeness double")
+    for top in (1, 2, 100):
+        assert len(grouped(N.components(df, top).collect())) == 2
 
 
 def test_found_slip_below_the_cosine(spark, rows):
