@@ -29,11 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeloom.llm.slips import near, plain, slips
 from citeloom.session import cut, drop
 
 GRAM = 3  # characters of an n-gram
@@ -96,29 +97,11 @@ def word_grams(word: str) -> list[str]:
     return [w[k : k + GRAM] for k in range(max(1, len(w) - GRAM + 1))]
 
 
-def near(a: str, b: str) -> bool:
-    """At most one edit or swap of neighbours apart."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    x, y = a[k:], b[k:]
-    return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
-
-
 def formal(given: str) -> set[str]:
     """A given name and the names it is short for."""
     return {given, NICKNAMES.get(given, given), ALSO.get(given, given)}
 
 
-def plain(word: str) -> str:
-    """With 'oe', 'ae' and 'ue' as the vowels they may stand for."""
-    return re.sub(r"([aou])e", r"\1", word)
-
-
 class Name:
     """The parts of one spelling: an organisation's words, or ways to read a person's name."""
 
@@ -458,11 +441,6 @@ def read(spelling: str) -> Name:
     return got
 
 
-@F.pandas_udf(T.BooleanType())
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([near(x, y) or plain(x) == plain(y) for x, y in zip(a, b)], dtype=bool)
-
-
 def gram_weights(forms: DataFrame) -> np.ndarray:
     """The weight of each bucket of n-grams by the number of forms (rep) that have one.
 
@@ -486,24 +464,6 @@ def gram_weights(forms: DataFrame) -> np.ndarray:
     return np.log1p(max(n[BUCKETS], 1.0) / np.maximum(n[:BUCKETS], COMMON))
 
 
-def gapped(word: str) -> Column:
-    """Hashes of a word and of the word with each letter left out."""
-    w, n = F.col(word), F.length(word)
-    cut_out = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, n)))
-    return F.array_distinct(F.transform(F.concat(F.array(w, F.regexp_replace(w, "([aou])e", "$1")), cut_out), lambda x: F.xxhash64(x)))
-
-
-def slips(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b): different words of left (word) and right (word), of at least five letters, that are one slip apart.
-
-    Strings one edit or swap apart become equal when the right letter is left out of each
-    or of one, so joining these gapped grams loses none.
-    """
-    marks = [x.where(F.length("word") >= 5).select(F.col("word").alias(k), F.explode(gapped("word")).alias("gram")) for k, x in (("a", left), ("b", right))]
-    met = marks[0].join(marks[1], "gram").where("a <> b").where(F.abs(F.length("a") - F.length("b")) < 3).select("a", "b").distinct()
-    return met.where(_near("a", "b"))
-
-
 def links(forms: DataFrame, weight: np.ndarray) -> DataFrame:
     """(a, b, likeness, same, whole_a, whole_b), a < b: all pairs of forms that share a mark and agree.
 
