@@ -13,16 +13,16 @@ Scripts have their own terminators; Thai, which has none, divides at white space
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: abbreviations longer than this are only known through the list
-SHORT = 6
+from citeloom.session import cut
+
+#: letters of the longest abbreviation; a longer word before a period is an ordinary one
+LONGEST = 10
 
 # Frequent abbreviations, used where neither document nor corpus has evidence.
 KNOWN = frozenset(
@@ -40,7 +40,9 @@ _CLOSE = re.compile(
 )
 _MARK_AFTER_SPACE = re.compile(r" \[\d+(?:\s*[,;–-]\s*\d+)*\](?=\s|$|[.!?])")
 _OPENERS = "\"“”«„‘'(¿¡[「『（{`<"
-_WORD_BEFORE = re.compile(r"(?:[^\W\d_][̀-ͯऀ-ःऺ-ॏ]*)+(?:\.(?:[^\W\d_][̀-ͯऀ-ःऺ-ॏ]*)+)*$")
+# a word and its chain, read backwards from a period
+_BACKWARDS = re.compile(r"(?:[̀-ͯऀ-ःऺ-ॏ]*[^\W\d_])+(?:\.(?:[̀-ͯऀ-ःऺ-ॏ]*[^\W\d_])+)*")
+_PERIOD = re.compile(r"(?<!\.)\.(?![.\w])|(?<!\.)\.(?=_)")
 _WORD = re.compile(r"(?:[^\W\d_][̀-ͯऀ-ःऺ-ॏ]*)+")
 _MIXED = re.compile(r"[a-z]{1,2}(?:[A-Z]|\d+\b)")
 _PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "(": ")", "（": "）", "《": "》", "[": "]"}
@@ -75,18 +77,19 @@ def spans(text: str) -> list[tuple[int, int]]:
 
 def token_before(text: str, at: int) -> tuple[str, int]:
     """The word that ends at `at`, in lower case, and its start; chains such as 'т. д' are one."""
-    m = _WORD_BEFORE.search(text, max(0, at - 40), at)
+    m = _BACKWARDS.match(text[max(0, at - 40) : at][::-1])
     if not m:
         return "", at
-    start, token = m.start(), m.group()
+    start = at - m.end()
+    token = text[start:at]
     if "." in token and max(map(len, token.split("."))) > 2:  # two words without a space
         last = token.rpartition(".")[2]
         start, token = at - len(last), last
     while len(token.split(".")[0]) <= 2 and start >= 3 and text[start - 1].isspace() and text[start - 2] == ".":
-        p = _WORD_BEFORE.search(text, max(0, start - 12), start - 2)
-        if not p or len(p.group()) > 1 or token.count(".") > 3:
+        p = _BACKWARDS.match(text[max(0, start - 12) : start - 2][::-1])
+        if not p or p.end() > 1 or token.count(".") > 3:
             break
-        start, token = p.start(), f"{p.group()}.{token}"
+        start, token = start - 2 - p.end(), f"{p.group()}.{token}"
     return token.lower(), start
 
 
@@ -101,37 +104,39 @@ def _chain(token: str) -> bool:
     return all(len(x) == 1 for x in token.split("."))
 
 
-def evidence(text: str) -> Counter:
-    """(word, role) counts of one text: a abbreviation, e end, d doubtful, b bare."""
-    out: Counter = Counter()
+_BARE = re.compile(rf"(?<![^\s{re.escape(_OPENERS)}])(?:[^\W\d_][̀-ͯऀ-ःऺ-ॏ]*){{1,{LONGEST}}}(?=[ \n,;])")
+
+
+def evidence(text: str) -> tuple[dict[str, list[int]], set[str], set[str]]:
+    """What one text shows: token -> numbers of places as (abbreviation, end, doubtful); tokens asked for; bare words."""
+    counts: dict[str, list[int]] = {}
+    asked: set[str] = set()
     n = len(text)
-    for m in re.finditer(r"\.", text):
+    for m in _PERIOD.finditer(text):
         i = m.start()
-        if (i + 1 < n and (text[i + 1] == "." or text[i + 1].isalnum())) or (i and text[i - 1] == "."):
-            continue
         token, _ = token_before(text, i)
-        if not token or max(map(len, token.split("."))) > SHORT:
+        if not token or max(map(len, token.split("."))) > LONGEST:
             continue
+        if i + 1 < n and text[i + 1].isspace():
+            asked.add(token)
         c = _CLOSE.match(text, i + 1)
-        k = c.end() if c else i + 1
-        p = k
+        p = c.end() if c else i + 1
         while p < n and text[p].isspace():
             p += 1
         if p >= n:
-            out[token, "e"] += 1
+            kind = 1
         elif c:
             continue
         elif text[p] in ",;:" or text[p].isdigit() or (text[p] == "(" and text[p + 1 : p + 2].isdigit()):
-            out[token, "a"] += 1
+            kind = 0
         elif text[p].islower():
-            if not _MIXED.match(text, p):
-                out[token, "a"] += 1
+            if _MIXED.match(text, p):
+                continue
+            kind = 0
         else:
-            out[token, "d"] += 1
-    for m in _WORD.finditer(text):
-        if m.end() - m.start() <= SHORT and m.end() < n and text[m.end()] in " \n,;" and (not m.start() or text[m.start() - 1].isspace() or text[m.start() - 1] in _OPENERS):
-            out[m.group().lower(), "b"] += 1
-    return out
+            kind = 2
+        counts.setdefault(token, [0, 0, 0])[kind] += 1
+    return counts, asked, set(_BARE.findall(text.lower()))
 
 
 def role(token: str, doc: tuple | None, corpus: tuple | None) -> int:
@@ -285,49 +290,78 @@ def split(text: str, roles: dict[str, int]) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(text: str) -> list[str]:
-    """The short words before a period whose role decides about a boundary."""
-    out = set()
-    for m in re.finditer(r"\.(?=\s)", text):
-        token, _ = token_before(text, m.start())
-        if token and max(map(len, token.split("."))) <= SHORT:
-            out.add(token)
-    return sorted(out)
+def role_of(token: str, doc: dict[str, str], corpus: dict[str, str]) -> Column:
+    """role() as an expression over columns of counts."""
+    c, d = ({k: F.coalesce(F.col(v), F.lit(0)) for k, v in x.items()} for x in (corpus, doc))
+    closing = F.when((c["e"] > 0) & (c["e"] >= 0.1 * (c["a"] + c["e"] + c["d"])), 2).otherwise(1)
+    return (
+        F.when(F.col(token).rlike(r"^.(?:\..)*$"), F.when((c["e"] > 0) & (c["e"] >= c["a"]), 2).otherwise(1))
+        .when((d["a"] > 0) & (d["e"] == 0) & (d["b"] == 0), closing)
+        .when(((d["e"] > 0) | (d["b"] > 0)) & (d["a"] == 0), 0)
+        .when((c["a"] > 0) & (c["a"] >= 0.2 * (c["a"] + c["e"])), closing)
+        .when((c["e"] == 0) & (c["b"] == 0) & (c["d"] >= 3), 1)
+        .when(F.col(token).isin(*KNOWN) & (c["e"] == 0), 1)
+        .otherwise(0)
+    )
+
+
+def default_role(token: str) -> Column:
+    """role() without any evidence."""
+    return F.when(F.col(token).rlike(r"^.(?:\..)*$") | F.col(token).isin(*KNOWN), 1).otherwise(0)
+
 
+_SEEN = "src string, row_id long, doc long, token string, word long, a int, e int, d int, b int"
 
-def units(texts: DataFrame, evidence_texts: DataFrame | None = None) -> DataFrame:
+
+def units(texts: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """(src, row_id, sent_no, start_pos, end_pos) of texts (src, row_id, doc, text).
 
-    evidence_texts: (doc, text) rows to learn from, by default the texts themselves. Null,
-    empty and blank texts give no row; a text without a terminator is one sentence;
-    repeated rows are divided each. Positions are code points in the stored text.
+    more: (doc, text) rows that serve as evidence only. Null, empty and blank texts give no
+    row; a text without a terminator is one sentence; repeated rows are divided each.
+    Positions are code points in the stored text.
     """
-    learn = (evidence_texts if evidence_texts is not None else texts).where(F.col("text").isNotNull()).select("doc", "text")
+    wanted = texts.where(F.col("text").isNotNull()).select("src", "row_id", "doc", "text")
+    every = wanted if more is None else wanted.unionByName(more.where(F.col("text").isNotNull()).select(F.lit(None).cast("string").alias("src"), F.lit(None).cast("long").alias("row_id"), "doc", "text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One pass over the texts: what each asks for, and what the batch shows of each document."""
         for batch in batches:
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for (token, kind), n in evidence(text).items():
-                    seen[doc, token, kind] += n
-            if len(seen) > 200_000:
-                yield _counts(seen)
-                seen.clear()
-        yield _counts(seen)
-
-    roles_of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
-    wanted = texts.where(F.col("text").isNotNull())
-    # one row per text and doubtful word
-    asked = wanted.select("src", "row_id", "doc", F.explode(_candidates("text")).alias("token"))
-    seen = learn.mapInArrow(count, "doc string, token string, kind string, n long")
-    per_doc = seen.groupBy("doc", "token").agg(*(roles_of(k).alias(k) for k in "aedb"))
-    corpus = per_doc.groupBy("token").agg(*(F.sum(k).alias(k) for k in "aedb")).where("a + e + d > 0")
-    by_doc = per_doc.where("a + e + d > 0 OR b > 0").select("doc", "token", F.struct("a", "e", "d", "b").alias("of_doc"))
-    by_all = corpus.select("token", F.struct("a", "e", "d", "b").alias("of_all"))
-    # the document's and the corpus's counts meet each (document, word) once, not each text
-    pairs = asked.select("doc", "token").distinct().join(by_doc, ["doc", "token"], "left").join(by_all, "token", "left")
-    decided = pairs.select("doc", "token", _role("token", "of_doc", "of_all").alias("kind"))
-    verdicts = asked.join(decided, ["doc", "token"]).groupBy("src", "row_id").agg(F.collect_list(F.struct("token", "kind")).alias("roles"))
+            out: list[list] = [[] for _ in range(9)]
+            seen: dict[tuple[int, str], list[int]] = {}
+            bare: set[tuple[int, str]] = set()
+            for src, row_id, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                counts, asked, words = evidence(text)
+                for token, (a, e, d) in counts.items():
+                    n = seen.setdefault((doc, token), [0, 0, 0])
+                    n[0] += a
+                    n[1] += e
+                    n[2] += d
+                bare.update((doc, w) for w in words)
+                if src is not None:
+                    for token in asked:
+                        for column, value in zip(out, (src, row_id, doc, token, None, None, None, None, None)):
+                            column.append(value)
+            for (doc, token), n in seen.items():
+                for column, value in zip(out, (None, None, doc, token, None, *n, int((doc, token) in bare))):
+                    column.append(value)
+            for doc, w in bare.difference(seen):
+                for column, value in zip(out, (None, None, doc, w, None, 0, 0, 0, 1)):
+                    column.append(value)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["src", "row_id", "doc", "token", "word", "a", "e", "d", "b"])
+
+    seen = every.select("src", "row_id", F.xxhash64("doc").alias("doc"), "text").mapInArrow(look, _SEEN)
+    seen = cut(seen.withColumn("word", F.xxhash64("token")))
+    marks = seen.where("a IS NOT NULL")
+    # of the bare words only those count that stand before a period somewhere
+    doubtful = marks.where("a + e + d > 0").select("word").distinct()
+    kept = marks.select("doc", "word", "a", "e", "d", "b").join(doubtful, "word", "left_semi")
+    per_doc = cut(kept.groupBy("doc", "word").agg(*(F.sum(k).alias(k) for k in "aedb")))
+    corpus = per_doc.groupBy("word").agg(*(F.sum(k).alias(f"all_{k}") for k in "aedb")).where("all_a + all_e + all_d > 0")
+    asked = seen.where("src IS NOT NULL").select("src", "row_id", "doc", "token", "word")
+    both = asked.join(per_doc, ["doc", "word"], "left").join(corpus, "word", "left")
+    decided = both.select("src", "row_id", "token", role_of("token", {k: k for k in "aedb"}, {k: f"all_{k}" for k in "aedb"}).alias("kind"), default_role("token").alias("usual"))
+    verdicts = decided.where("kind <> usual").groupBy("src", "row_id").agg(F.collect_set(F.struct("token", "kind")).alias("roles"))
     joined = wanted.select("src", "row_id", "text").join(verdicts, ["src", "row_id"], "left")
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,26 +378,6 @@ def units(texts: DataFrame, evidence_texts: DataFrame | None = None) -> DataFram
     return joined.select("src", "row_id", "text", "roles").mapInArrow(cut_up, "src string, row_id long, sent_no int, start_pos int, end_pos int")
 
 
-def _counts(seen: Counter) -> pa.RecordBatch:
-    keys = list(seen)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[x] for k in keys], pa.string()) for x in range(3)] + [pa.array([seen[k] for k in keys], pa.int64())], names=["doc", "token", "kind", "n"]
-    )
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _candidates(texts):  # noqa: ANN001, ANN202
-    return texts.map(candidates)
-
-
-@F.pandas_udf(T.IntegerType())
-def _role(tokens, of_doc, of_all):  # noqa: ANN001, ANN202
-    import pandas as pd
-
-    rows = lambda f: [None if any(pd.isna(v) for v in x) else tuple(x) for x in f[["a", "e", "d", "b"]].itertuples(index=False)]
-    return pd.Series([role(t, d, c) for t, d, c in zip(tokens, rows(of_doc), rows(of_all))])
-
-
 def found(scan: DataFrame, nli: DataFrame) -> DataFrame:
     """(src, row_id, sent_no, start_pos, end_pos) of all passages and premises.
 
@@ -372,4 +386,5 @@ def found(scan: DataFrame, nli: DataFrame) -> DataFrame:
     of_scan = scan.select(F.lit("scan_sentences").alias("src"), F.col("sentence_id").alias("row_id"), F.coalesce("pdf_sha256", F.lit("")).alias("doc"), "text", "slice_kind")
     of_nli = nli.select(F.lit("nli_results").alias("src"), F.col("result_id").alias("row_id"), F.concat(F.lit("nli:"), F.coalesce(F.col("ref_id").cast("string"), F.lit(""))).alias("doc"), F.col("premise").alias("text"), F.lit("passage").alias("slice_kind"))
     both = of_scan.unionByName(of_nli)
-    return units(both.where("slice_kind = 'passage'").drop("slice_kind"), both.select("doc", "text"))
+    passage = F.coalesce(F.col("slice_kind") == "passage", F.lit(False))
+    return units(both.where(passage), both.where(~passage))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from citeloom.llm import sentences as S
@@ -72,3 +74,21 @@ def test_frames(spark, rows):
     assert {r[1] for r in got if r[0] == "scan_sentences"} == {1, 5, 6, 7, 8}
     assert [r[2] for r in got if r[1] == 6] == [1, 2]
     assert S.found(scan.limit(0), nli.limit(0)).count() == 0
+
+
+def test_roles_as_expressions(spark):
+    rng = random.Random(5)
+    tokens = ["no", "dr", "xyz", "j.r", "e.g", "т.е", "डॉ"]
+    data = [(rng.choice(tokens), *(rng.choice([0, 0, 1, 2, 5, 30]) if rng.random() > 0.2 else None for _ in range(8))) for _ in range(600)]
+    df = spark.createDataFrame(data, "token string, a long, e long, d long, b long, aa long, ae long, ad long, ab long")
+    got = df.select("*", S.role_of("token", {k: k for k in "aedb"}, {k: f"a{k}" for k in "aedb"}).alias("kind"), S.default_role("token").alias("usual")).collect()
+    for r in got:
+        doc, corpus = (tuple(r[k] or 0 for k in (f"{p}a", f"{p}e", f"{p}d", f"{p}b")) for p in ("", "a"))
+        assert r.kind == S.role(r.token, doc, corpus), r
+        assert r.usual == S.role(r.token, None, None)
+
+
+def test_evidence():
+    counts, asked, bare = S.evidence("See abb. 3 and the abb. It is so. Abb is it, not Bundesges. but so.")
+    assert counts == {"abb": [1, 0, 1], "so": [0, 1, 1], "bundesges": [1, 0, 0]}
+    assert asked == {"abb", "so", "bundesges"} and {"see", "abb", "it", "not"} <= bare and "bundesges" not in bare
