@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.session import cut
@@ -28,8 +29,8 @@ SMALL_SHARE = 0.15
 GROUPS = 24
 #: small items that one best-fit task gets, about
 SHARD = 20_000
-#: the ranks of one group are found in buckets: at least so many, of about so many items
-BUCKETS, BUCKET_ITEMS = 64, 500_000
+#: the ranks of one group are found in buckets of about so many items
+BUCKET_ITEMS = 100_000
 
 
 def byte_tokens(text: Column) -> Column:
@@ -89,18 +90,20 @@ def plan(histogram: list[tuple[int, int]], capacity: int, small: float = SMALL_S
     """Where the r-th document of each group goes.
 
     histogram: (size, count) pairs of the items of at most the capacity. Gives for each
-    size its group (-1 for small items) and for each group the rows (first rank, first
-    container, copies per container); containers are counted from 0.
+    smallest sizes of all groups in rising order and for each group the rows (first rank,
+    first container, copies per container); containers are counted from 0.
     """
     large = sorted((s, n) for s, n in histogram if s > small * capacity)
-    group_of = np.full(capacity + 1, -1, dtype=np.int16)
+    least: list[int] = []
     slots: dict[int, list[tuple[int, int, int]]] = {}
     containers = 0
     if large:
         sizes, counts = np.array([s for s, _ in large]), np.array([n for _, n in large])
         group = group_sizes(sizes, counts, groups)
-        group_of[sizes] = group
         names = sorted(set(group.tolist()))
+        group = np.searchsorted(names, group)
+        names = list(range(len(names)))
+        least = [int(sizes[group == g].min()) for g in names]
         rounded = [int(sizes[group == g].max()) for g in names]
         filled = [0] * len(names)
         for filling, times in configurations(rounded, [int(counts[group == g].sum()) for g in names], capacity):
@@ -109,7 +112,7 @@ def plan(histogram: list[tuple[int, int]], capacity: int, small: float = SMALL_S
                     slots.setdefault(names[k], []).append((filled[k], containers, n))
                     filled[k] += n * times
             containers += times
-    return {"group_of": group_of, "slots": {g: tuple(np.array(x) for x in zip(*rows)) for g, rows in slots.items()}, "containers": containers}
+    return {"least": least, "slots": {g: tuple(np.array(x) for x in zip(*rows)) for g, rows in slots.items()}, "containers": containers}
 
 
 def best_fit(room: list[tuple[str, int]], sizes: np.ndarray, capacity: int, name: str) -> list[str]:
@@ -144,7 +147,8 @@ def pack(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = sorted({(int(r.spec_id), int(r.capacity)) for r in specs.where("spec_id IS NOT NULL AND capacity > 0").select("spec_id", "capacity").collect()})
     if not wanted:
         return spark.createDataFrame([], CONTAINERS)
-    sized = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), byte_tokens(F.col(text_col)).alias("size"))
+    # the texts are read once; from here on there are ids and sizes
+    sized = cut(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), byte_tokens(F.col(text_col)).alias("size")))
     spec = F.explode(F.array(*(F.struct(F.lit(i).alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for i, c in wanted)))
     each = sized.select("doc_id", "size", spec.alias("s")).select("doc_id", "size", "s.*")
     over = F.col("size") > F.col("capacity")
@@ -158,44 +162,31 @@ def pack(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: st
     # at most `capacity` different sizes for each spec, whatever the number of documents
     sizes = items.groupBy("spec_id", "length").count().toPandas()
     plans = {i: plan(list(zip(h["length"].tolist(), h["count"].tolist())), c) for i, c in wanted for h in [sizes[sizes.spec_id == i]]}
-    buckets = max(BUCKETS, int(sizes["count"].sum()) // BUCKET_ITEMS)
-    numbers = spark.sparkContext.broadcast({i: p["group_of"] for i, p in plans.items()})
-
-    @F.pandas_udf("int")
-    def group_number(spec_id: pd.Series, length: pd.Series) -> pd.Series:
-        out = np.full(len(length), -1, dtype=np.int32)
-        for i in spec_id.unique():
-            at = (spec_id == i).to_numpy()
-            out[at] = numbers.value[i][length[at].to_numpy()]
-        return pd.Series(out)
-
-    grouped = items.withColumn("group_no", group_number("spec_id", "length")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(buckets)).cast("int"))
-    # the rank of a document in its group: its place in the bucket and the counts of the buckets before;
-    # one count for each group and half a million items
-    per = grouped.groupBy("spec_id", "group_no", "bucket").count().toPandas()
-    before: dict[tuple[int, int, int], int] = {}
-    total: dict[tuple[int, int], int] = {}
-    for i, g, b, n in per.sort_values(["spec_id", "group_no", "bucket"])[["spec_id", "group_no", "bucket", "count"]].itertuples(index=False):
-        before[i, g, b] = total.get((i, g), 0)
-        total[i, g] = total.get((i, g), 0) + n
-    places = spark.sparkContext.broadcast((before, {i: p["slots"] for i, p in plans.items()}))
-
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, g, b = (int(x) for x in key)
-        before, slots = places.value
-        first, container, copies = slots[i][g]
+    buckets = max(1, int(sizes["count"].sum()) // (BUCKET_ITEMS * GROUPS))
+    by_spec = lambda value: F.coalesce(*(F.when(F.col("spec_id") == i, value(p)) for i, p in plans.items()))
+    # the number of groups that begin at or below the length; -1 for small items
+    number = by_spec(lambda p: sum((F.col("length") >= x).cast("int") for x in p["least"]) - 1 if p["least"] else F.lit(-1))
+    grouped = items.withColumn("group_no", number).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(buckets)).cast("int"))
+    # the rank of a document in its group: its place in the bucket and the counts of the buckets before
+    per = grouped.where("group_no >= 0").groupBy("spec_id", "group_no", "bucket").agg(F.count("*").alias("n"))
+    before = per.select("spec_id", "group_no", "bucket", (F.sum("n").over(W.partitionBy("spec_id", "group_no").orderBy("bucket")) - F.col("n")).alias("before"))
+    places = spark.sparkContext.broadcast({i: p["slots"] for i, p in plans.items()})  # a few rows for each group
+
+    def place(rows: pd.DataFrame, first_rank: pd.DataFrame) -> pd.DataFrame:
+        i, g = int(rows.spec_id.iloc[0]), int(rows.group_no.iloc[0])
+        first, container, copies = places.value[i][g]
         rows = rows.sort_values(["length", "doc_id", "part_no"], ascending=[False, True, True])
-        rank = before[i, g, b] + np.arange(len(rows))
+        rank = int(first_rank.before.iloc[0]) + np.arange(len(rows))
         at = np.searchsorted(first, rank, side="right") - 1
         rows["container_no"] = container[at] + (rank - first[at]) // copies[at]
         return rows[["spec_id", "capacity", "doc_id", "part_no", "token_start", "token_end", "length", "container_no"]]
 
     cols = "spec_id int, capacity long, doc_id long, part_no int, token_start long, token_end long, length long"
-    large = grouped.where("group_no >= 0").groupBy("spec_id", "group_no", "bucket").applyInPandas(place, f"{cols}, container_no long")
-    large = cut(large)
+    key = ["spec_id", "group_no", "bucket"]
+    large = cut(grouped.where("group_no >= 0").groupBy(*key).cogroup(before.groupBy(*key)).applyInPandas(place, f"{cols}, container_no long"))
+    count_small = {int(i): int(sizes[(sizes.spec_id == i) & (sizes.length < (plans[i]["least"] or [1 << 62])[0])]["count"].sum()) for i, _ in wanted}
     # room left in the containers of large items, and the small items, dealt out to shards
-    n_small = {i: total.get((i, -1), 0) for i, _ in wanted}
-    shards = F.coalesce(*(F.when(F.col("spec_id") == i, F.lit(max(1, -(-n_small[i] // shard), -(-plans[i]["containers"] // (2 * shard))))) for i, _ in wanted))
+    shards = F.coalesce(*(F.when(F.col("spec_id") == i, F.lit(max(1, -(-count_small[i] // shard), -(-plans[i]["containers"] // (2 * shard))))) for i, _ in wanted))
     deal = lambda *c: F.pmod(F.xxhash64(*c), shards).cast("int")
     room = large.groupBy("spec_id", "capacity", "container_no").agg(F.sum("length").alias("used")).where("used < capacity")
     room = room.select("spec_id", "capacity", deal("container_no").alias("shard_no"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("part_no"), F.lit(None).cast("long").alias("token_start"), F.lit(None).cast("long").alias("token_end"), (F.col("capacity") - F.col("used")).alias("length"), "container_no")
