@@ -27,12 +27,15 @@ STRETCH = 12  # successive words that make a leak
 PASSAGE = 30  # words in a passage
 K1, B = 1.2, 0.75
 BLOCK = 16  # postings in a block
-RANGES = 64  # ranges of items with similar thresholds, at most; each has its own floor
+ROWS = 256  # passages whose bounds are summed at once
+#: ranges of items with similar thresholds, at most, and numbers in the table of their bounds
+RANGES, TABLE = 256, 4_000_000
 #: items that one index holds; more items are searched in several passes
 INDEX_ITEMS = 50_000
 
 _MAP = str.maketrans(ONE_TO_ONE | JOINED)
 _UNSEEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
+_MAPPED = re.compile("[" + "".join(sorted(map(re.escape, ONE_TO_ONE | JOINED))) + "]")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt]")
 _HYPHEN_BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n\s*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
@@ -43,7 +46,9 @@ def words(text: str) -> list[str]:
     if "\\" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else " ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFC", _UNSEEN.sub("", text)).translate(_MAP)
+        text = unicodedata.normalize("NFC", _UNSEEN.sub("", text))
+        if _MAPPED.search(text):
+            text = text.translate(_MAP)
     return _WORD.findall(text.lower())
 
 
@@ -74,26 +79,38 @@ class Index:
         #: by term: (last item, highest impact) of each block
         self.blocks = {t: [(b[-1][0], max(x for _, x in b)) for k in range(0, len(p), BLOCK) if (b := p[k : k + BLOCK])] for t, p in self.postings.items()}
         # highest impact of each term in each range of items, and each range's floor
-        width = max(1, -(-n // RANGES), min(4, n))
+        width = max(1, -(-n // max(16, min(RANGES, TABLE // max(1, len(self.postings))))))
         self.starts = list(range(0, n, width))
         self.width = width
         self.floors = np.array([self.least[k] for k in self.starts])
         self.number = {t: k for k, t in enumerate(self.postings)}
-        self.top = np.zeros((len(self.number), max(1, len(self.starts))), dtype=np.float32)
+        self.terms = list(self.postings)
+        self.top = np.zeros((len(self.number) + 1, len(self.starts)), dtype=np.float32)
         for t, p in self.postings.items():
             row = self.top[self.number[t]]
             for at, x in p:
                 row[at // width] = max(row[at // width], x)
 
-    def search(self, terms: list[str]) -> list[int]:
-        """All items that score at least their threshold for the given different terms."""
-        rows = [self.number[t] for t in terms]
-        bounds = self.top[rows].sum(0) + 1e-4  # float32 sums
-        out = []
-        for r in np.flatnonzero(bounds >= self.floors):
-            lo = self.starts[r]
-            out += self._wand(terms, rows, lo, lo + self.width, r)
-        return out
+    def search(self, ids: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(row, items): of each row of terms (-1 for none) the items that score at least their threshold.
+
+        The bounds of all rows and ranges are summed at once; the walk follows only where a
+        bound reaches the floor.
+        """
+        ids = np.sort(ids, axis=1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1  # a term counts once
+        bounds = self.top[ids].sum(axis=1) + 1e-4  # float32 sums; the last row of top is that of no term
+        hits = bounds >= self.floors
+        for row in np.flatnonzero(hits.any(axis=1)):
+            rows = ids[row][ids[row] >= 0].tolist()
+            terms = [self.terms[k] for k in rows]
+            items: list[int] = []
+            for r in np.flatnonzero(hits[row]):
+                lo = self.starts[r]
+                # the bound of a range of one item is its score
+                items += [lo] if self.width == 1 else self._wand(terms, rows, lo, lo + self.width, r)
+            if items:
+                yield int(row), items
 
     def _wand(self, terms: list[str], rows: list[int], lo: int, hi: int, r: int) -> list[int]:
         """The items of one range that score at least their threshold.
@@ -156,21 +173,30 @@ class Index:
         c[2] = at
 
     def leaked(self, text: str, passage: int = PASSAGE) -> set[int]:
-        """Ids of the items that share a stretch of words with the text."""
+        """Ids of the items that share a stretch of words with the text.
+
+        Every stretch lies whole in one of the passages, which overlap. A passage is a query
+        where so many of its words in a row are indexed at all.
+        """
         w = words(text)
-        if len(w) < self.stretch:
-            return set()
-        known, hits = self.number, set()
+        hits: set[int] = set()
+        if len(w) < self.stretch or not self.ids:
+            return hits
+        number = self.number.get
+        ids = np.array([number(x, -1) for x in w], dtype=np.int32)
+        indexed = np.concatenate([[0], np.cumsum(ids >= 0)])
+        starts = np.flatnonzero(indexed[self.stretch :] - indexed[: -self.stretch] == self.stretch)
         step = passage - self.stretch + 1
-        for k in range(0, max(1, len(w) - self.stretch + 1), step):
-            part = w[k : k + passage]
-            terms = [t for t in set(part) if t in known]
-            if not terms:
-                continue
-            found = [i for i in self.search(terms) if self.ids[i] not in hits]
-            if found:
-                spans = {tuple(part[j : j + self.stretch]) for j in range(len(part) - self.stretch + 1)}
-                hits.update(self.ids[i] for i in found if not spans.isdisjoint(self.grams[i]))
+        places = np.unique(starts // step) * step
+        padded = np.concatenate([ids, np.full(passage, -1, dtype=np.int32)])
+        for at in range(0, len(places), ROWS):
+            here = places[at : at + ROWS]
+            for row, found in self.search(padded[here[:, None] + np.arange(passage)]):
+                left = [i for i in found if self.ids[i] not in hits]
+                if left:
+                    part = w[here[row] : here[row] + passage]
+                    spans = {tuple(part[j : j + self.stretch]) for j in range(len(part) - self.stretch + 1)}
+                    hits.update(self.ids[i] for i in left if not spans.isdisjoint(self.grams[i]))
         return hits
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from citeloom.llm import leakage as L
 
 
@@ -48,7 +50,8 @@ def test_scores_against_all_items():
             for at, x in index.postings[w]:
                 scores[at] += x
         want = sorted(k for k, s in enumerate(scores) if s >= index.least[k])
-        got = sorted(index.search(terms))
+        ids = np.array([[index.number[t] for t in terms] or [-1]])
+        got = sorted(k for _, found in index.search(ids) for k in found)
         assert set(want) <= set(got) and all(scores[k] >= index.least[k] - 1e-6 for k in got)
 
 
@@ -70,3 +73,15 @@ def test_more_items_than_one_index_holds(spark, rows, monkeypatch):
     monkeypatch.setattr(L, "INDEX_ITEMS", 7)
     got = L.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert set(rows(got)) == brute(docs, items)
+
+
+def test_walk_over_ranges(monkeypatch):
+    """Where a range holds several items, the walk finds what scoring each alone finds."""
+    docs, items = made(3)
+    items = [(100 * k + i, t) for k in range(4) for i, t in items]
+    alone = L.Index(items)
+    monkeypatch.setattr(L, "RANGES", 16)
+    index = L.Index(items)
+    assert index.width > 1 == alone.width
+    assert [index.leaked(t) for _, t in docs] == [alone.leaked(t) for _, t in docs]
+    assert {(d, i) for d, t in docs for i in index.leaked(t)} == brute(docs, items)
