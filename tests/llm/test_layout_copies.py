@@ -50,3 +50,18 @@ def test_title_with_single_letters(spark, rows):
     pairs = [("E. coli growth under stress. Smith, J. Nature, 2001; 4(2): 1-9.", "Smith, J. (2001). E. coli growth under stress. Nature, 4(2), 1-9."), ("Vitamin C. A trial. Smith, J. Nature, 2001; 4(2): 1-9.", "Smith, J. (2001). Vitamin C. A trial. Nature, 4(2), 1-9.")]
     for pair in pairs:
         assert rows(L.entry_copies(entries(spark, list(pair))), "keep_id", "copy_id") == [(1, 2)]
+
+
+def test_layouts_outside_the_five(spark, rows):
+    more = [f"{A}. {T}. {V}. 2001;4(2):10-12. doi:10.1000/x.y", f"{A}: {T}, {V} 4:2 (2001) 10-12, doi 10.1000/x.y"]
+    got = rows(L.entry_copies(entries(spark, FORMS + more)), "keep_id", "copy_id")
+    assert got == [(1, k) for k in range(2, 8)]
+
+
+def test_turned_into():
+    pieces = ["ecoli", "growth", "smithj", "doea", "nature"]
+    assert L.turned_into(pieces, "41", "smithjdoeaecoligrowthnature41") and L.turned_into(pieces, "41", "growthecolismithjdoeanature41")
+    assert not L.turned_into(pieces, "41", "doeasmithjecoligrowthnature41") and not L.turned_into(pieces[:2], "41", "growthecoli41")
+    assert L.joined(["a1", "", "2b", "3"]) == "a1|2b3"
+    many = [f"p{k}x" for k in range(3000)]
+    assert L.turned_into(many, "", "".join([*many[1500:2000], *many[:1500], *many[2000:]]))
