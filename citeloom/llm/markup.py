@@ -151,11 +151,12 @@ def vectors(text: str, seq: list[Leaf]) -> np.ndarray:
         for key in (f"k:{kind}", f"n:{kind}:{name}", f"p:{parent}"):
             h, s = _hash(key)
             row[h % PATH_DIM] += s
-        body = text[start : min(end, start + 400)]
-        words = _WORD.findall(body[:120])
-        for w in words[:8]:
+        body = text[start:end]
+        words = _WORD.findall(body)
+        share = 0.3 * min(1.0, 8 / max(1, len(words)))  # long leaves weigh no more than short ones
+        for w in words:
             h, s = _hash("w:" + w.lower())
-            row[PATH_DIM + h % WORD_DIM] += 0.3 * s
+            row[PATH_DIM + h % WORD_DIM] += share * s
         shape = row[PATH_DIM + WORD_DIM :]
         size = end - start
         shape[0] = min(size, 60) / 60
