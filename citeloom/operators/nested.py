@@ -3,8 +3,9 @@
 Each record is scanned once, token by token, into (path, ordinals, value) triples. The
 path names the keys only; ordinals hold one number per key: the place in the array under
 that key, 0 where a single value stands in place of an array. An array straight inside an
-array, or at the root, adds the key ``#``. Triples of paths below one repeated ancestor share their leading
-ordinals, so each such group pivots into one flat table.
+array, or at the root, adds the key ``#``. Which paths are repeated is read from the triples;
+paths below one repeated ancestor form a group, share their leading ordinals, and pivot
+into one flat table.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.session import cut
+
 TRIPLES = "rec_id long, path string, ordinals array<int>, kind string, value string"
 _SPACE = re.compile(r"[ \t\n\r]*")
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?")
@@ -40,7 +43,7 @@ def _digits(m: re.Match) -> str:
 def scan(text: str, unwrap: frozenset[str] = frozenset()) -> list[tuple[str, list[int], str, str | None]]:
     """All scalar values of one JSON text as (path, ordinals, kind, value).
 
-    A string at a path in `unwrap` is scanned in turn as JSON. Empty objects and arrays
+    In a path the keys stand between dots; a dot inside a key is written ~1, a tilde ~0. A string at a path in `unwrap` is scanned in turn as JSON. Empty objects and arrays
     give a triple of kind 'empty', so that a record's presence stays visible.
     """
     out: list[tuple[str, list[int], str, str | None]] = []
@@ -92,7 +95,7 @@ def scan(text: str, unwrap: frozenset[str] = frozenset()) -> list[tuple[str, lis
                 i = space(text, i + 1).end()
                 if i >= n:
                     raise BadRecord("cut")
-                keys.append(key)
+                keys.append(key.replace("~", "~0").replace(".", "~1") if "." in key or "~" in key else key)
                 places.append(0)
                 c = text[i]
             elif stack and c == "]" and fresh:
@@ -157,13 +160,15 @@ def _leave(stack: list[tuple[bool, int]], keys: list[str], places: list[int]) ->
     del keys[depth:], places[depth:]
 
 
-def shred(df: DataFrame, id_col: str, json_col: str, unwrap: tuple[str, ...] = ()) -> DataFrame:
+def shred(df: DataFrame, id_col: str, json_col: str, unwrap: tuple[str, ...] = (), under: tuple[str, ...] = ()) -> DataFrame:
     """(rec_id, path, ordinals, kind, value) triples of every valid record of df.
 
+    under: paths to keep with all below them, so that no other value leaves the scan; all by default.
+
     Null, empty, cut and otherwise invalid texts give no triple; repeated rows give theirs
     each. Other columns of df play no part, whatever their names. Narrow: no shuffle.
     """
-    inner = frozenset(unwrap)
+    inner, below = frozenset(unwrap), tuple(f"{p}." for p in under)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,6 +181,8 @@ def shred(df: DataFrame, id_col: str, json_col: str, unwrap: tuple[str, ...] = (
                 except (BadRecord, RecursionError):
                     continue
                 for p, o, k, v in found:
+                    if below and not f"{p}.".startswith(below):
+                        continue
                     ids.append(rec)
                     paths.append(p)
                     places.append(o)
@@ -197,6 +204,28 @@ def repeated_ancestors(triples: DataFrame) -> DataFrame:
     return steps.select("rec_id", name.alias("ancestor")).distinct().groupBy("ancestor").agg(F.count("*").alias("records"))
 
 
+def grouped_paths(triples: DataFrame) -> DataFrame:
+    """(path, ancestor, depth): each path with its nearest repeated ancestor and how many keys that has; '' and 0 where none is."""
+    paths = triples.select("path").distinct().withColumn("keys", F.split("path", r"\."))
+    steps = paths.select("path", F.explode(F.sequence(F.lit(1), F.size("keys"))).alias("depth"), "keys").withColumn("ancestor", F.array_join(F.slice("keys", F.lit(1), F.col("depth")), "."))
+    near = steps.join(repeated_ancestors(triples), "ancestor").groupBy("path").agg(F.max(F.struct("depth", "ancestor")).alias("a"))
+    return paths.select("path").join(near, "path", "left").select("path", F.coalesce("a.ancestor", F.lit("")).alias("ancestor"), F.coalesce("a.depth", F.lit(0)).alias("depth"))
+
+
+def flat_tables(triples: DataFrame) -> DataFrame:
+    """(rec_id, ancestor, places, fields): the rows of all groups' tables, each group of paths pivoted into one.
+
+    places: the row's place under every key of the ancestor. fields: value by the rest of
+    the path, '' for the ancestor's own. Null and empty values are no field; a row without
+    a field is left out; of values with one place the smallest counts. No triples give no rows.
+    """
+    rows = triples.where(F.col("value") != "").join(grouped_paths(triples), "path")
+    rest = F.when(F.col("path") == F.col("ancestor"), F.lit("")).otherwise(F.when(F.col("depth") == 0, F.col("path")).otherwise(F.substring("path", F.length("ancestor") + 2, F.length("path"))))
+    keyed = rows.select("rec_id", "ancestor", F.slice("ordinals", F.lit(1), F.col("depth")).alias("places"), rest.alias("field"), "value")
+    once = keyed.groupBy("rec_id", "ancestor", "places", "field").agg(F.min("value").alias("value"))
+    return once.groupBy("rec_id", "ancestor", "places").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+
+
 def child_table(triples: DataFrame, ancestor: str, fields: dict[str, str], numbers: dict[str, str]) -> DataFrame:
     """One flat table for the group of paths below `ancestor`.
 
@@ -211,25 +240,24 @@ def child_table(triples: DataFrame, ancestor: str, fields: dict[str, str], numbe
     return keyed.groupBy("rec_id", *level).agg(*(F.min(F.when(F.col("path") == p, F.col("value"))).alias(c) for p, c in full.items()))
 
 
-#: child name: ancestor of the value, place column by repeated path
-CHILDREN = {
-    "funder_award": ("message.funder.award", {"message.funder": "parent_no", "message.funder.award": "child_no"}),
-    "license_url": ("message.license.URL", {"message.license": "parent_no"}),
-    "isbn_value": ("message.isbn-type.value", {"message.isbn-type": "parent_no"}),
-}
+#: child name: path of the value; its parent is the second key
+CHILDREN = {"funder_award": "message.funder.award", "license_url": "message.license.URL", "isbn_value": "message.isbn-type.value"}
 
 
 def answer_children(raw: DataFrame, id_col: str = "raw_id", body_col: str = "body") -> DataFrame:
     """(raw_id, child, parent_no, child_no, value) of registry answers.
 
-    Awards of funders, URLs of licences and values of ISBN entries. Invalid bodies and
-    bodies without a message give no row, null and empty values neither, but they keep
-    their place. An empty table gives an empty one.
+    Awards of funders, URLs of licences and values of ISBN entries, read from the flat
+    tables of whatever ancestors are repeated. Invalid bodies and bodies without a message
+    give no row, null and empty values neither, but they keep their place. An empty table
+    gives an empty one.
     """
-    triples = shred(raw, id_col, body_col, unwrap=("message",))
-    wanted = triples.where(F.col("path").isin(*(p for p, _ in CHILDREN.values())))
-    # one pass over the records: the three groups differ in their path only
-    child = F.coalesce(*(F.when(F.col("path") == p, F.lit(c)) for c, (p, _) in CHILDREN.items()))
-    depth = F.when(F.col("path") == CHILDREN["funder_award"][0], F.element_at("ordinals", 3)).otherwise(F.lit(0))
-    rows = wanted.where(F.col("value") != "").select("rec_id", child.alias("child"), F.element_at("ordinals", 2).alias("parent_no"), depth.alias("child_no"), "value")
-    return rows.groupBy("rec_id", "child", "parent_no", "child_no").agg(F.min("value").alias("value")).withColumnRenamed("rec_id", "raw_id")
+    parents = tuple(dict.fromkeys(p.rpartition(".")[0] for p in CHILDREN.values()))
+    triples = cut(shred(raw, id_col, body_col, unwrap=("message",), under=parents))
+    cells = flat_tables(triples).select("rec_id", "ancestor", "places", F.explode("fields").alias("field", "value"))
+    # ancestors and fields make the path again; what is not repeated has place 0
+    path = F.concat_ws(".", F.nullif("ancestor", F.lit("")), F.nullif("field", F.lit("")))
+    child = F.coalesce(*(F.when(path == p, F.lit(c)) for c, p in CHILDREN.items()))
+    place = lambda k: F.coalesce(F.get("places", F.lit(k)), F.lit(0))
+    rows = cells.select("rec_id", child.alias("child"), place(1).alias("parent_no"), place(2).alias("child_no"), "value").where("child IS NOT NULL")
+    return rows.withColumnRenamed("rec_id", "raw_id")

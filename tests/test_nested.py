@@ -76,3 +76,23 @@ def test_child_table_and_ancestors(spark, rows):
 def test_bad(text):
     with pytest.raises(nested.BadRecord):
         nested.scan(text)
+
+
+def test_dotted_keys_keep_their_places(spark, rows):
+    assert nested.scan('{"a.b":[{"c~d":1},{"c~d":2}]}') == [("a~1b.c~0d", [0, 0], "num", "1"), ("a~1b.c~0d", [1, 0], "num", "2")]
+    df = spark.createDataFrame([(1, body({"fun.der": [{"award": "X"}], "funder": [{"x.y": "q"}, {"award": ["A", "B"]}]}))], "raw_id long, body string")
+    assert rows(nested.answer_children(df), "child", "parent_no", "child_no", "value") == [("funder_award", 1, 0, "A"), ("funder_award", 1, 1, "B")]
+
+
+def test_flat_tables(spark, rows):
+    df = spark.createDataFrame([(1, '{"t":"x","m":[{"n":"a","k":["p","q"]},{"n":"b","o":{"z":1}}]}'), (2, '{"t":null,"m":{"n":"c"}}')], "id long, body string")
+    t = nested.shred(df, "id", "body")
+    assert rows(nested.grouped_paths(t)) == [("m.k", "m.k", 2), ("m.n", "m", 1), ("m.o.z", "m", 1), ("t", "", 0)]
+    got = {(r.rec_id, r.ancestor, tuple(r.places)): r.fields for r in nested.flat_tables(t).collect()}
+    assert got == {(1, "", ()): {"t": "x"}, (1, "m", (0,)): {"n": "a"}, (1, "m", (1,)): {"n": "b", "o.z": "1"}, (1, "m.k", (0, 0)): {"": "p"}, (1, "m.k", (0, 1)): {"": "q"}, (2, "m", (0,)): {"n": "c"}}
+    assert nested.flat_tables(t.limit(0)).count() == 0
+
+
+def test_nothing_repeated(spark, rows):
+    df = spark.createDataFrame([(1, body({"funder": {"award": "A"}, "license": {"URL": "u"}, "isbn-type": {"value": "9"}}))], "raw_id long, body string")
+    assert rows(nested.answer_children(df), "child", "parent_no", "child_no", "value") == [("funder_award", 0, 0, "A"), ("isbn_value", 0, 0, "9"), ("license_url", 0, 0, "u")]
