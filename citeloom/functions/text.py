@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,6 +47,15 @@ def surname(name: Column | str) -> Column:
     return F.element_at(F.split(squeeze(part), " "), -1)
 
 
+# letters with an accent and the plain letter, by rule
+_ACCENTED = {chr(c): d[0].lower() for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) for d in [unicodedata.normalize("NFD", chr(c))] if d[0].isascii() and d[0].isalpha() and len(d) > 1} | {"ı": "i"}
+
+
+def fold_accents(c: Column | str) -> Column:
+    """Lower case without accents, composed or combining."""
+    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), "".join(_ACCENTED), "".join(_ACCENTED.values()))
+
+
 def authors(c: Column | str) -> Column:
     """Names of an author field that joins them with the word `and`."""
     return F.filter(F.transform(F.split(c, r"\s+and\s+"), F.trim), lambda x: x != "")
