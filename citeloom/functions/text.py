@@ -58,7 +58,7 @@ def fold_accents(c: Column | str) -> Column:
 
 def authors(c: Column | str) -> Column:
     """Names of an author field that joins them with the word `and`."""
-    return F.filter(F.transform(F.split(c, r"\s+and\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\s+and\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clean_doi(c: Column | str) -> Column:

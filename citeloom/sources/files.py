@@ -130,7 +130,7 @@ def tex_citations(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bare = F.regexp_replace(text_col, r"(?m)(?<!\\)%.*$", "")
     s = texts.select(F.col(id_col), F.posexplode(X.sentences(bare)).alias("sent_no", "sentence"))
     keys = F.flatten(F.transform(F.regexp_extract_all("sentence", F.lit(r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"), F.lit(1)), lambda k: F.split(k, r"\s*,\s*")))
-    return s.select(id_col, "sent_no", "sentence", F.explode(F.array_distinct(F.transform(keys, F.trim))).alias("cite_key"))
+    return s.select(id_col, "sent_no", "sentence", F.explode(F.array_distinct(F.transform(keys, lambda x: F.trim(x)))).alias("cite_key"))
 
 
 def report(checks: DataFrame) -> DataFrame:

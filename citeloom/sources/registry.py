@@ -41,12 +41,17 @@ class SnapshotReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute in (("id_type",), ("id_value",), ("registry",)):
-                self.wanted[f.attribute[0]] = [f.value]
+                self._keep(f.attribute[0], [f.value])
             elif isinstance(f, In) and f.attribute == ("id_value",):
-                self.wanted["id_value"] = list(f.value)
+                self._keep("id_value", list(f.value))
             else:
                 yield f
 
+    def _keep(self, column: str, values: list[str]) -> None:
+        """Filters on one column all hold: only the values they share are wanted."""
+        held = self.wanted.get(column)
+        self.wanted[column] = values if held is None else [v for v in held if v in values]
+
     def _names(self) -> list[str] | None:
         if self.name:
             return [self.name]
