@@ -147,9 +147,42 @@ def mask_citations(c: Column | str) -> Column:
     return squeeze(F.regexp_replace(tex, r"\[\d+(?:\s*[,;–-]\s*\d+)*\]", "[CIT]"))
 
 
+#: what ends a sentence before a capital: a mark after a word of four letters, a number or a bracket, or ! and ?
+SENTENCE_END = r"((?:[a-zA-Z0-9]{4}|[a-z]\)|[0-9]|[)\]])\.|[!?])\s+([A-Z\[])"
+
+
 def sentences(c: Column | str, least: int = 1) -> Column:
-    """Pieces between terminators and capitals, the abbreviations of titles and figures protected."""
-    guarded = F.regexp_replace(c, r"\b(e\.g|i\.e|et al|Fig|Eq|Sec|Tab|vs|cf|Dr|Prof|approx|no|vol|pp)\.", "$1\u0001")
-    cut = F.split(F.regexp_replace(guarded, r"([.!?])\s+([A-Z\[])", "$1\u0002$2"), "\u0002")
-    back = F.transform(cut, lambda x: F.trim(F.replace(x, F.lit("\u0001"), F.lit("."))))
-    return F.filter(back, lambda x: F.length(x) >= least)
+    """Pieces between a period and a capital; short words before the period count as abbreviations."""
+    cut = F.split(F.regexp_replace(c, SENTENCE_END, "$1\u0002$2"), "\u0002")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+
+
+def without_asides(c: Column | str, depth: int = 4) -> Column:
+    """Text without brackets that hold no citation mark, nested up to depth."""
+    c = F.col(c) if isinstance(c, str) else c
+    for _ in range(depth):
+        c = F.regexp_replace(c, r"\s*\((?:[^()\[]|\[[^C])*\)", "")
+    return squeeze(c)
+
+
+def clip_words(c: Column | str, limit: int = 60) -> Column:
+    """The first words of a text, with an ellipsis where any are left out."""
+    c = F.col(c) if isinstance(c, str) else c
+    words = F.split(squeeze(c), " ")
+    return F.when(F.size(words) <= limit, c).otherwise(F.concat(F.array_join(F.slice(words, 1, limit), " "), F.lit(" …")))
+
+
+# Words that name nothing a search could look for.
+SEARCH_STOP = (
+    "the and for with that this from are was were which their its our all use used using we report reports follow following adopt same also than then they them has have had been but not can may more most other such both "
+    "over under into across within between while when where each every any one two via per only well much many very upon about"
+).split()
+
+
+def search_terms(c: Column | str, most: int = 16) -> Column:
+    """The terms of a citing sentence that narrow a search most: numbers, then capitalised words, then longer ones."""
+    plain = F.regexp_replace(F.replace(mask_citations(c), F.lit("[CIT]"), F.lit(" ")), r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{([^}]*)\})?", " $1 ")
+    words = F.filter(F.regexp_extract_all(plain, F.lit(r"([A-Za-z][A-Za-z0-9-]{2,}|[0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda w: ~F.lower(w).isin(*SEARCH_STOP))
+    low = F.transform(words, lambda w: F.lower(w))
+    once = F.filter(F.transform(words, lambda w, i: F.struct(F.when(w.rlike("^[0-9]"), 0).otherwise(1).alias("n"), F.when(w.rlike("^[A-Z]"), 0).otherwise(1).alias("c"), (-F.length(w)).alias("l"), i.alias("i"), w.alias("w"))), lambda x: F.array_position(low, F.lower(x.w)) == x.i + 1)
+    return F.transform(F.slice(F.array_sort(once), 1, most), lambda x: x.w)

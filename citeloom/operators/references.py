@@ -182,3 +182,19 @@ def hyphen_breaks(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     known = vocabulary.select("word", F.lit(True).alias("k"))
     met = parts.withColumn("word", F.lower(F.concat("left", "right"))).join(known, "word", "left")
     return met.select("id", "left", "right", F.coalesce("k", F.lit(False)).alias("joined"))
+
+
+def shared_stretches(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """(left id, right id) of texts that share n successive words; both sides are (id, text).
+
+    Stretches are compared by a 64-bit hash; of the larger side only those the smaller one
+    has travel further than a filter.
+    """
+    a, b = left.columns[0], right.columns[0]
+
+    def stretches(df: DataFrame, key: str) -> DataFrame:
+        words = df.select(key, F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)).alias("w")).where(F.size("w") >= n)
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda k: F.xxhash64(F.slice("w", k, n)))
+        return words.select(key, F.explode(F.array_distinct(each)).alias("g"))
+
+    return stretches(left, a).join(stretches(right, b), "g").select(a, b).distinct()

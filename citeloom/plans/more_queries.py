@@ -58,16 +58,6 @@ def numeric_markers(spark: SparkSession, d: str) -> DataFrame:
     return r.select("sentence_id", F.explode(F.sequence("a", "b")).alias("label")).distinct()
 
 
-@query(
-    "SELECT sentence_id, array_to_string(list_slice(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9.-]*[A-Za-z0-9]'), lambda w: length(w) > 3 AND NOT list_contains(["
-    + ", ".join(f"'{w}'" for w in S.C.STOP)
-    + "], lower(w))))), 1, 16), ' ') AS terms FROM scan_sentences WHERE text IS NOT NULL"
-)
-def search_terms(spark: SparkSession, d: str) -> DataFrame:
-    words = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9.-]*[A-Za-z0-9]"), F.lit(0)), lambda w: (F.length(w) > 3) & ~F.lower(w).isin(*S.C.STOP))
-    return table(spark, d, "scan_sentences").where("text IS NOT NULL").select("sentence_id", F.array_join(F.slice(F.array_sort(F.array_distinct(words)), 1, 16), " ").alias("terms"))
-
-
 DATE = "m ->> '$.\"{0}\".\"date-parts\"[0][{1}]'"
 ISO = "NULLIF(concat_ws('-', " + DATE.format("{0}", 0) + ", lpad(" + DATE.format("{0}", 1) + ", 2, '0'), lpad(" + DATE.format("{0}", 2) + ", 2, '0')), '')"
 

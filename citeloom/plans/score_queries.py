@@ -275,23 +275,33 @@ def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _intent_sql() -> str:
-    low, mark = "lower(m)", "strpos(m, '[CIT]')"
-    scores = []
-    for name, p in C.CUES.items():
-        found = f"regexp_extract({low}, '({p})', 1)"
-        away = f"abs(strpos({low}, {found}) - {mark})"
-        scores.append(f"CASE WHEN {found} = '' THEN 0.0 ELSE (CASE WHEN {mark} = 0 THEN 1.0 WHEN {away} < 30 THEN 2.0 WHEN {away} < 80 THEN 1.5 WHEN {away} < 150 THEN 1.0 ELSE 0.5 END) * {0.6 if name == 'contrasting' else 1.0} END::DOUBLE AS s_{name}")
-    names = list(C.CUES)
-    best = "greatest(" + ", ".join(f"s_{n}" for n in names) + ")"
-    pick = "CASE WHEN " + best + " = 0 THEN 'mentioning' " + " ".join(f"WHEN s_{n} = {best} THEN '{n}'" for n in names) + " END"
-    return f"WITH m AS ({SQL['citations_masked']}), s AS (SELECT sentence_id, {', '.join(scores).replace('m,', 'masked,').replace('(m)', '(masked)')} FROM m) SELECT sentence_id, {pick} AS intent, round(CASE WHEN {best} = 0 THEN 0.5 ELSE least(0.95, 0.4 + {best} * 0.25) END, 6) AS confidence FROM s"
+    named = f"regexp_replace(text, '\\([A-Z][a-z]+(?:\\s+et\\s+al\\.?)?,?\\s*\\d{{4}}\\)', ' [CIT] ', 'g')"
+    marked = f"regexp_replace({named}, '\\[[\\d,;\\s]+\\]', ' [CIT] ', 'g')"
+    tex = f"regexp_replace({marked}, '~?\\\\cite[a-zA-Z]*\\*?(?:\\[[^\\]]*\\])*\\{{[^}}]*\\}}', ' [CIT]', 'g')"
+    masked = f"trim(regexp_replace(regexp_replace({tex}, '\\[\\d+(?:\\s*[,;–-]\\s*\\d+)*\\]', '[CIT]', 'g'), '\\s+', ' ', 'g'))"
+
+    def weight(p: str) -> str:
+        found = f"regexp_extract(low, '{p}')"
+        away = f"abs(strpos(low, {found}) - mark)"
+        return f"CASE WHEN {found} = '' THEN NULL WHEN mark = 0 THEN 1.0 WHEN {away} < 30 THEN 2.0 WHEN {away} < 80 THEN 1.5 WHEN {away} < 150 THEN 1.0 ELSE 0.5 END::DOUBLE"
+
+    lists = ", ".join(f"list_filter([{', '.join(map(weight, ps))}], lambda x: x IS NOT NULL) AS l_{k}" for k, ps in C.CUES.items())
+    total = lambda c: f"coalesce(list_sum({c}), 0)"
+    sums = ", ".join(f"round({total('l_' + k)}, 6) AS s_{k}" for k in C.CUES if k != "contrasting")
+    best = "greatest(" + ", ".join(f"s_{k}" for k in C.CUES) + ")"
+    name = "CASE " + " ".join(f"WHEN s_{k} = {best} THEN '{k}'" for k in C.CUES) + " END"
+    return f"""WITH m AS (SELECT sentence_id, lower(x) AS low, strpos(x, '[CIT]') AS mark FROM (SELECT sentence_id, {masked} AS x FROM scan_sentences WHERE text IS NOT NULL)),
+        l AS (SELECT sentence_id, {lists}, {weight(C.WEAK_CONTRAST)} AS weak FROM m),
+        c AS (SELECT *, list_concat(l_contrasting, list_filter([CASE WHEN weak IS NULL THEN NULL WHEN len(l_contrasting) > 0 THEN weak * 0.5 WHEN weak > 1.5 THEN weak * 0.3 END], lambda x: x IS NOT NULL)) AS contrast FROM l),
+        s AS (SELECT sentence_id, {sums}, round({total("contrast")} * CASE WHEN coalesce(list_max(contrast), 0) < 1.5 THEN 0.6 ELSE 1.0 END, 6) AS s_contrasting FROM c),
+        b AS (SELECT sentence_id, {best} AS best, {name} AS name FROM s)
+        SELECT sentence_id, CASE WHEN best = 0 THEN 'mentioning' WHEN name = 'contrasting' THEN 'contrasting' ELSE 'supporting' END AS intent, round(CASE WHEN best = 0 THEN 0.5 ELSE least(0.95, 0.4 + best * 0.15) * CASE name WHEN 'extending' THEN 0.9 WHEN 'using' THEN 0.85 ELSE 1 END END, 6) AS confidence FROM b"""
 
 
 @query(_intent_sql())
 def citation_intent(spark: SparkSession, d: str) -> DataFrame:
-    m = T.citations_masked(spark, d)
-    name, sure = C.intent(F.col("masked"))
-    return m.select("sentence_id", name.alias("intent"), F.round(sure, 6).alias("confidence"))
+    t = table(spark, d, "scan_sentences").where("text IS NOT NULL").select("sentence_id", C.mark_citations("text").alias("marked"))
+    return C.intent(t, "marked").select("sentence_id", "intent", "confidence")
 
 
 @query(f"SELECT intent, count(*) AS n, round(avg(confidence), 6) AS confidence FROM ({_intent_sql()}) GROUP BY intent")
@@ -353,9 +363,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return ranked(spark, d)
 
 
+GOLD = "(SELECT DISTINCT item_id AS query, doc_id AS unit FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(list_slice(w, k, k + 11), ' '))) AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_passages) WHERE len(w) >= 12) JOIN (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(list_slice(w, k, k + 11), ' '))) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) >= 12) USING (g))"
+
+
 @query(
     BM25
-    + """, gold AS (SELECT item_id AS query, doc_id AS unit FROM eval_passages e JOIN documents d ON contains(d.text, substr(e.text, 1, 60))), n AS (SELECT query, count(*) AS n FROM gold GROUP BY query),
+    + """, gold AS (SELECT * FROM """
+    + GOLD
+    + """), n AS (SELECT query, count(*) AS n FROM gold GROUP BY query),
     r AS (SELECT r.query, rank, CASE WHEN g.unit IS NULL THEN 0 ELSE 1 END AS r, coalesce(n.n, 0) AS n FROM ranked r LEFT JOIN gold g USING (query, unit) LEFT JOIN n USING (query)), k(k) AS (VALUES (1), (5), (10)),
     pq AS (SELECT k, query, sum(r) AS hits, max(n) AS n, min(CASE WHEN r = 1 THEN rank END) AS first, sum(r / log2(rank + 1)) AS dcg FROM r, k WHERE rank <= k GROUP BY k, query)
     SELECT k, count(*) AS queries, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit, round(sum(hits)::DOUBLE / (k * count(*)), 6) AS "precision", round(sum(hits)::DOUBLE / sum(n), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr,
@@ -363,8 +378,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 )
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     e, docs = table(spark, d, "eval_passages"), table(spark, d, "documents")
-    start = F.broadcast(e.select(F.col("item_id").alias("query"), F.substring("text", 1, 60).alias("start")))  # the fixed test items
-    gold = docs.join(start, F.contains(F.col("text"), F.col("start"))).select("query", F.col("doc_id").alias("unit"), F.lit(True).alias("hit"))
+    gold = R.shared_stretches(e.select(F.col("item_id").alias("query"), "text"), docs.select(F.col("doc_id").alias("unit"), "text"), 12).withColumn("hit", F.lit(True))
     n = gold.groupBy("query").agg(F.count("*").alias("n_relevant"))
     r = ranked(spark, d).join(gold, ["query", "unit"], "left").join(n, "query", "left")
     return E.ranking_metrics(r.select("query", "rank", F.coalesce("hit", F.lit(False)).alias("relevant"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant")), [1, 5, 10])
