@@ -103,12 +103,13 @@ def checks_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(CHECKS + " SELECT * FROM checks")
-def field_checks(spark: SparkSession, d: str) -> DataFrame:
+def exact_title_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks against the registry row of the same title, which needs no search."""
     return checks_of(spark, d)
 
 
 @query(CHECKS + f" SELECT ref_id, work_id, round(avg({WORTH.format('status')}), 6) AS match_score FROM checks GROUP BY ref_id, work_id")
-def match_score(spark: SparkSession, d: str) -> DataFrame:
+def exact_title_scores(spark: SparkSession, d: str) -> DataFrame:
     return R.match_scores(checks_of(spark, d))
 
 

@@ -88,6 +88,21 @@ def source_matches(spark: SparkSession, d: str) -> DataFrame:
     return matches_of(spark, d).drop("same_first")
 
 
+LONG = MATCHES + """, long AS (SELECT ref_id, registry, by_id, unnest(['title', 'authors', 'year', 'venue']) AS field, unnest([title_status, authors_status, year_status, venue_status]) AS status FROM sm)"""
+
+
+@query(LONG + " SELECT * FROM long WHERE status IS NOT NULL")
+def field_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Every field check of every source in long form."""
+    c = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f"{k}_status").alias("status")) for k in ("title", "authors", "year", "venue")))).alias("c")
+    return matches_of(spark, d).select("ref_id", "registry", "by_id", c).select("ref_id", "registry", "by_id", "c.*").where("status IS NOT NULL")
+
+
+@query(MATCHES + " SELECT ref_id, registry, by_id, match_score FROM sm")
+def match_score(spark: SparkSession, d: str) -> DataFrame:
+    return matches_of(spark, d).select("ref_id", "registry", "by_id", "match_score")
+
+
 ORDER = "CASE registry " + " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(V.PRIORITY)) + f" ELSE {len(V.PRIORITY)} END"
 CLEAN = "confirmed AND NOT (coalesce(title_status = 'FAIL', false) OR coalesce(authors_status = 'FAIL', false) OR coalesce(year_status = 'FAIL', false) OR coalesce(venue_status = 'FAIL', false))"
 

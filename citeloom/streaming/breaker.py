@@ -56,22 +56,34 @@ def step(state: dict[str, Any], ts: float, ok: bool, failures: int = FAILURES, s
     return True, state["mode"]
 
 
-def stateful(calls: DataFrame, failures: int = FAILURES, seconds: float = SECONDS, rest: float = REST) -> DataFrame:
+def stateful(calls: DataFrame, failures: int = FAILURES, seconds: float = SECONDS, rest: float = REST, idle_ms: int = 86_400_000) -> DataFrame:
     """(registry, ts, admitted, mode) of a stream (registry, ts, ok); state is kept per registry.
 
-    No more failures are kept than open the breaker.
+    A registry's calls of one trigger are put in order together, however many Arrow batches
+    they come in; the trigger bounds them. No more failures are kept than open the breaker,
+    and a registry without a call for idle_ms is forgotten, which is the closed state.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         mode, opened, failed = held.get if held.exists else ("closed", 0.0, [])
         state = {"mode": mode, "opened": opened, "failed": list(failed)}
-        for rows in batches:
-            rows = rows.sort_values("ts")
-            out = [step(state, t, bool(ok), failures, seconds, rest) for t, ok in zip(rows.ts.astype("int64") / 1e9 if rows.ts.dtype.kind == "M" else rows.ts, rows.ok)]
-            yield pd.DataFrame({"registry": key[0], "ts": rows.ts.to_numpy(), "admitted": [a for a, _ in out], "mode": [m for _, m in out]})
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        times = rows.ts.astype("int64") / 1e9 if rows.ts.dtype.kind == "M" else rows.ts
+        out = [step(state, t, bool(ok), failures, seconds, rest) for t, ok in zip(times, rows.ok)]
         held.update((state["mode"], state["opened"], state["failed"][-failures:]))
+        held.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"registry": key[0], "ts": rows.ts.to_numpy(), "admitted": [a for a, _ in out], "mode": [m for _, m in out]})
+
+    return calls.groupBy("registry").applyInPandasWithState(run, "registry string, ts double, admitted boolean, mode string", "mode string, opened double, failed array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
 
-    return calls.groupBy("registry").applyInPandasWithState(run, "registry string, ts double, admitted boolean, mode string", "mode string, opened double, failed array<double>", "append", GroupStateTimeout.NoTimeout)
+def statistics(answered: DataFrame) -> DataFrame:
+    """(registry, calls, rejected, opened, rejection_rate) of answered calls (registry, ts, admitted, mode)."""
+    g = answered.groupBy("registry").agg(F.count("*").alias("calls"), F.count_if(~F.col("admitted")).alias("rejected"), F.count_if(F.col("admitted") & (F.col("mode") == "open")).alias("opened"))
+    return g.withColumn("rejection_rate", F.round(F.col("rejected") / F.col("calls"), 6))
 
 
 def unseen(stream: DataFrame, key: str, ts: str, lateness: str = "1 hour") -> DataFrame:

@@ -67,3 +67,39 @@ def test_replay_goes_on_after_midnight(spark, rows, tmp_path):
     df = spark.createDataFrame([(k, *c) for k, c in enumerate(calls)], "event_id long, ts string, event_type string, props string")
     df.selectExpr("event_id", "CAST(ts AS timestamp) AS ts", "event_type", "props").write.parquet(str(tmp_path / "events.parquet"))
     assert rows(breaker.replay(spark, str(tmp_path)), "mode", "admitted", "n") == [("closed", True, 2), ("open", False, 1), ("open", True, 1)]
+
+
+def test_calls_of_one_trigger_are_put_in_order(spark, tmp_path):
+    """More calls than an Arrow batch holds, handed over in no order, are folded in time order."""
+    calls = [("r", float(t), t >= 40) for t in range(60)]
+    random.Random(3).shuffle(calls)
+    spark.createDataFrame(calls, "registry string, ts double, ok boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        stream = spark.readStream.schema("registry string, ts double, ok boolean").parquet(str(tmp_path / "in"))
+        q = breaker.stateful(stream).writeStream.format("memory").queryName("ordered_out").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    state = {"mode": "closed", "opened": 0.0, "failed": []}
+    want = [(t, *breaker.step(state, t, ok)) for _, t, ok in sorted(calls, key=lambda c: c[1])]
+    got = sorted((r.ts, r.admitted, r.mode) for r in spark.sql("SELECT * FROM ordered_out").collect())
+    assert got == want
+    s = breaker.statistics(spark.sql("SELECT * FROM ordered_out")).first()
+    assert (s.calls, s.rejected) == (60, sum(not a for _, a, _ in want))
+
+
+def test_cache_forgets_the_longest_unused():
+    from collections import OrderedDict
+
+    from citeloom.streaming.cache import touch
+
+    e = OrderedDict()
+    ask = lambda k, t, found=True: touch(e, k, t, found, 100.0, 10.0, 2)
+    assert not ask("a", 0) and not ask("b", 1) and ask("a", 2)
+    assert not ask("c", 3) and list(e) == ["a", "c"]  # b was unused longest
+    assert not ask("b", 4) and not ask("a", 5)
+    assert not ask("x", 6, False) and ask("x", 15, False) and not ask("x", 17, False)
+    assert not ask("b", 200)
