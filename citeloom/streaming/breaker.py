@@ -56,12 +56,13 @@ def step(state: dict[str, Any], ts: float, ok: bool, failures: int = FAILURES, s
     return True, state["mode"]
 
 
-def stateful(calls: DataFrame, failures: int = FAILURES, seconds: float = SECONDS, rest: float = REST, idle_ms: int = 86_400_000) -> DataFrame:
+def stateful(calls: DataFrame, failures: int = FAILURES, seconds: float = SECONDS, rest: float = REST, idle_ms: int | None = None) -> DataFrame:
     """(registry, ts, admitted, mode) of a stream (registry, ts, ok); state is kept per registry.
 
     A registry's calls of one trigger are put in order together, however many Arrow batches
     they come in; the trigger bounds them. No more failures are kept than open the breaker,
-    and a registry without a call for idle_ms is forgotten, which is the closed state.
+    and a registry without a call for idle_ms is forgotten, which is the closed state. With
+    idle_ms a query never rests, for it has to watch the clock; leave it out for finite input.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -74,10 +75,11 @@ def stateful(calls: DataFrame, failures: int = FAILURES, seconds: float = SECOND
         times = rows.ts.astype("int64") / 1e9 if rows.ts.dtype.kind == "M" else rows.ts
         out = [step(state, t, bool(ok), failures, seconds, rest) for t, ok in zip(times, rows.ok)]
         held.update((state["mode"], state["opened"], state["failed"][-failures:]))
-        held.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"registry": key[0], "ts": rows.ts.to_numpy(), "admitted": [a for a, _ in out], "mode": [m for _, m in out]})
 
-    return calls.groupBy("registry").applyInPandasWithState(run, "registry string, ts double, admitted boolean, mode string", "mode string, opened double, failed array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.groupBy("registry").applyInPandasWithState(run, "registry string, ts double, admitted boolean, mode string", "mode string, opened double, failed array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def statistics(answered: DataFrame) -> DataFrame:

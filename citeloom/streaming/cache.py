@@ -27,11 +27,11 @@ def touch(entries: OrderedDict, key: str, ts: float, found: bool, ttl: float, tt
     return False
 
 
-def lookups(calls: DataFrame, ttl: float, ttl_missing: float | None = None, capacity: int = 10_000, shards: int = 16, idle_ms: int = 86_400_000) -> DataFrame:
+def lookups(calls: DataFrame, ttl: float, ttl_missing: float | None = None, capacity: int = 10_000, shards: int = 16, idle_ms: int | None = None) -> DataFrame:
     """(key, ts, hit) of a stream (key, ts[, found]): whether an entry put `ttl` seconds ago or later is there.
 
     Keys are dealt to shards, each with its part of the capacity, so state is bounded by the
-    capacity whatever the number of keys; a shard without a call for idle_ms is forgotten.
+    capacity whatever the number of keys; a shard without a call for idle_ms, where given, is forgotten.
     A shard's calls of one trigger are put in order together.
     """
     each, short = max(1, capacity // shards), ttl if ttl_missing is None else ttl_missing
@@ -46,7 +46,8 @@ def lookups(calls: DataFrame, ttl: float, ttl_missing: float | None = None, capa
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         hits = [touch(entries, k, float(t), bool(f), ttl, short, each) for k, t, f in zip(rows.key, rows.ts, rows.found)]
         held.update((list(entries), [p for p, _ in entries.values()], [f for _, f in entries.values()]))
-        held.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"key": rows.key.to_numpy(), "ts": rows.ts.to_numpy(), "hit": hits})
 
-    return dealt.groupBy("shard").applyInPandasWithState(run, "key string, ts double, hit boolean", "keys array<string>, put array<double>, found array<boolean>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return dealt.groupBy("shard").applyInPandasWithState(run, "key string, ts double, hit boolean", "keys array<string>, put array<double>, found array<boolean>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

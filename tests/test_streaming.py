@@ -31,9 +31,8 @@ def test_stateful_stream(spark, tmp_path):
     calls = [("r", float(t), False) for t in range(6)] + [("r", 50.0, True), ("q", 1.0, True)]
     spark.createDataFrame(calls, "registry string, ts double, ok boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("registry string, ts double, ok boolean").parquet(str(tmp_path / "in"))
-    q = breaker.stateful(stream).writeStream.format("memory").queryName("calls_out").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = breaker.stateful(stream).writeStream.format("memory").queryName("calls_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     got = sorted((r.registry, r.ts, r.admitted, r.mode) for r in spark.sql("SELECT * FROM calls_out").collect())
     assert got[0] == ("q", 1.0, True, "closed")
     assert [(a, m) for _, _, a, m in got[1:]] == [(True, "closed")] * 4 + [(True, "open"), (False, "open"), (True, "closed")]
@@ -43,9 +42,8 @@ def test_seen_ids(spark, tmp_path):
     t = datetime.datetime(2024, 1, 1)
     spark.createDataFrame([(1, t), (1, t), (2, t)], "id long, ts timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, ts timestamp").parquet(str(tmp_path / "in"))
-    q = breaker.unseen(stream, "id", "ts").writeStream.format("memory").queryName("unseen_out").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = breaker.unseen(stream, "id", "ts").writeStream.format("memory").queryName("unseen_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     assert sorted(r.id for r in spark.sql("SELECT id FROM unseen_out").collect()) == [1, 2]
 
 
@@ -55,9 +53,8 @@ def test_cache_stream(spark, tmp_path):
     calls = [("k", 0.0), ("k", 5.0), ("k", 11.0), ("k", 12.0), ("j", 3.0)]
     spark.createDataFrame(calls, "key string, ts double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, ts double").parquet(str(tmp_path / "in"))
-    q = cache.lookups(stream, 10.0).writeStream.format("memory").queryName("cache_out").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = cache.lookups(stream, 10.0).writeStream.format("memory").queryName("cache_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     got = sorted((r.key, r.ts, r.hit) for r in spark.sql("SELECT * FROM cache_out").collect())
     assert got == [("j", 3.0, False), ("k", 0.0, False), ("k", 5.0, True), ("k", 11.0, False), ("k", 12.0, True)]
 
@@ -78,9 +75,8 @@ def test_calls_of_one_trigger_are_put_in_order(spark, tmp_path):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         stream = spark.readStream.schema("registry string, ts double, ok boolean").parquet(str(tmp_path / "in"))
-        q = breaker.stateful(stream).writeStream.format("memory").queryName("ordered_out").option("checkpointLocation", str(tmp_path / "c")).start()
-        q.processAllAvailable()
-        q.stop()
+        q = breaker.stateful(stream).writeStream.format("memory").queryName("ordered_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     state = {"mode": "closed", "opened": 0.0, "failed": []}
