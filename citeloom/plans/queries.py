@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.operators import nested
-from citeloom.plans import anomaly_queries, claim_queries, graph_queries, more_queries, registry_queries, score_queries, text_queries, verify_queries  # noqa: F401
+from citeloom.plans import anomaly_queries, claim_queries, detail_queries, graph_queries, more_queries, registry_queries, score_queries, text_queries, verify_queries  # noqa: F401
 from citeloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from citeloom.session import table
 
