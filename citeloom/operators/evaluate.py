@@ -57,11 +57,14 @@ def nearest_ranks(rows: DataFrame, group: str, value: str, shares: list[float])
     wide = sorted({max(0.0, min(1.0, q + s * eps)) for q in shares for s in (-1, 1)})
     sketch = rows.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx("v", [float(x) for x in wide], accuracy).alias("cuts"))
     want = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(wide.index(max(0.0, q - eps))).alias("i"), F.lit(wide.index(min(1.0, q + eps))).alias("j")) for q in shares))
-    asked = sketch.select(group, "n", "cuts", F.explode(want).alias("w")).select(group, "n", F.col("w.q").alias("q"), F.get("cuts", F.col("w.i")).alias("lo"), F.get("cuts", F.col("w.j")).alias("hi"))
-    met = rows.join(asked, group)
-    below = met.groupBy(group, "q").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.first("n").alias("n"))
+    ranges = sketch.select(group, "n", F.transform(want, lambda w: F.struct(w.q.alias("q"), F.get("cuts", w.i).alias("lo"), F.get("cuts", w.j).alias("hi"))).alias("ranges"))
+    met = rows.join(ranges, group)
+    # one pass over the rows: a count below each range, and only rows inside one are multiplied
+    lows = F.array(*(F.struct(F.lit(q).alias("q"), F.count_if(F.col("v") < F.get("ranges", F.lit(k)).lo).alias("below")) for k, q in enumerate(shares)))
+    below = met.groupBy(group).agg(F.first("n").alias("n"), lows.alias("b")).select(group, "n", F.explode("b").alias("b")).select(group, "n", "b.q", "b.below")
+    within = met.select(group, "v", F.explode(F.filter("ranges", lambda r: (F.col("v") >= r.lo) & (F.col("v") <= r.hi))).alias("r"))
     # equal values are counted before they are ordered, so a value that many rows have is one row
-    inside = met.where("v >= lo AND v <= hi").groupBy(group, "q", "v").agg(F.count("*").alias("k"))
+    inside = within.groupBy(group, F.col("r.q").alias("q"), "v").agg(F.count("*").alias("k"))
     upto = inside.withColumn("upto", F.sum("k").over(W.partitionBy(group, "q").orderBy("v"))).join(below, [group, "q"])
     place = F.least(F.floor(F.col("n") * F.col("q")), F.col("n") - 1) + 1
     return upto.where(F.col("upto") + F.col("below") >= place).groupBy(group, "q").agg(F.min("v").alias("value"))

@@ -112,18 +112,6 @@ def platt_calibrated(spark: SparkSession, d: str) -> DataFrame:
     return E.platt(n, "result_id", "entailment_score", "y")
 
 
-@query(
-    f"""WITH a AS (SELECT lower({T._doi("x.doi")}) AS d, min(y.year) AS y FROM crossref_raw x JOIN ({SQL["answer_fields"]}) y USING (raw_id) GROUP BY 1), r AS (SELECT ref_id, lower({T._doi("doi")}) AS d, {T.YEAR.format("year")} AS ty FROM bib_references)
-    SELECT ref_id, ty AS typed_year, a.y AS known_year FROM r JOIN a USING (d) WHERE abs(ty - a.y) BETWEEN 2 AND 60 AND NOT contains(d, CAST(ty AS VARCHAR))"""
-)
-def year_chimeras(spark: SparkSession, d: str) -> DataFrame:
-    """References whose DOI belongs to a work of another year, which the DOI does not name."""
-    known = table(spark, d, "crossref_raw").select("raw_id", F.lower(X.clean_doi("doi")).alias("d")).join(T.answer_fields(spark, d).select("raw_id", "year"), "raw_id").where("d IS NOT NULL").groupBy("d").agg(F.min("year").alias("known_year"))
-    r = table(spark, d, "bib_references").select("ref_id", F.lower(X.clean_doi("doi")).alias("d"), X.first_year("year").alias("typed_year"))
-    gap = F.abs(F.col("typed_year") - F.col("known_year"))
-    return r.join(known, "d").where(gap.between(2, 60) & ~F.contains("d", F.col("typed_year").cast("string"))).select("ref_id", "typed_year", "known_year")
-
-
 @query(
     f"""WITH b AS (SELECT r.ref_id, {T._doi("r.doi")} AS d, NULLIF(trim(arxiv_id), '') AS a, title, l.found_by FROM bib_references r LEFT JOIN ({SQL["id_lookup_then_search"]}) l USING (ref_id))
     SELECT ref_id, 'phantom_doi' AS flag, CASE WHEN found_by IS NULL THEN 0.95 ELSE 0.85 END::DOUBLE AS confidence FROM b WHERE d IS NOT NULL AND found_by IS DISTINCT FROM 'doi'

@@ -88,6 +88,21 @@ def source_matches(spark: SparkSession, d: str) -> DataFrame:
     return matches_of(spark, d).drop("same_first")
 
 
+@query(
+    MATCHES
+    + """, c AS (SELECT ref_id, 'year' AS reason FROM h2 WHERE by_id AND abs(ya - yb) BETWEEN 2 AND 60 UNION SELECT ref_id, 'authors' FROM h2 WHERE by_id AND authors_status = 'FAIL' UNION SELECT ref_id, 'title' FROM h2 WHERE by_id AND title_status = 'FAIL')
+    SELECT ref_id, reason FROM c"""
+)
+def natural_chimeras(spark: SparkSession, d: str) -> DataFrame:
+    """References whose identifier belongs to another work, by the field that contradicts it; years up to 60 apart count."""
+    m = matches_of(spark, d).where("by_id")
+    bad = lambda k, c: F.when(F.coalesce(c, F.lit(False)), F.lit(k))
+    # a year two apart or more is a failed one for a work found by its identifier; its score tells the distance no further
+    years = references(spark, d).select("ref_id", V.whole_year("year").alias("ya"), F.lower(X.clean_doi("doi")).alias("d")).join(answers(spark, d).select("d", V.whole_year("eyear").alias("yb")), "d").select("ref_id", F.abs(F.col("ya") - F.col("yb")).between(2, 60).alias("far"))
+    reasons = F.explode(F.array_compact(F.array(bad("year", F.col("far")), bad("authors", F.col("authors_status") == "FAIL"), bad("title", F.col("title_status") == "FAIL")))).alias("reason")
+    return m.join(years, "ref_id").select("ref_id", reasons).distinct()
+
+
 LONG = MATCHES + """, long AS (SELECT ref_id, registry, by_id, unnest(['title', 'authors', 'year', 'venue']) AS field, unnest([title_status, authors_status, year_status, venue_status]) AS status FROM sm)"""
 
 
