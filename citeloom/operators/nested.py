@@ -222,8 +222,9 @@ def flat_tables(triples: DataFrame) -> DataFrame:
     rows = triples.where(F.col("value") != "").join(grouped_paths(triples), "path")
     rest = F.when(F.col("path") == F.col("ancestor"), F.lit("")).otherwise(F.when(F.col("depth") == 0, F.col("path")).otherwise(F.substring("path", F.length("ancestor") + 2, F.length("path"))))
     keyed = rows.select("rec_id", "ancestor", F.slice("ordinals", F.lit(1), F.col("depth")).alias("places"), rest.alias("field"), "value")
-    once = keyed.groupBy("rec_id", "ancestor", "places", "field").agg(F.min("value").alias("value"))
-    return once.groupBy("rec_id", "ancestor", "places").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+    row = keyed.groupBy("rec_id", "ancestor", "places").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("cells"))
+    first = F.filter("cells", lambda x, i: (i == 0) | (F.get("cells", i - 1).field != x.field))
+    return row.select("rec_id", "ancestor", "places", F.map_from_entries(first).alias("fields"))
 
 
 def child_table(triples: DataFrame, ancestor: str, fields: dict[str, str], numbers: dict[str, str]) -> DataFrame:
