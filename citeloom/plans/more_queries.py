@@ -143,13 +143,9 @@ def shifted_years(spark: SparkSession, d: str) -> DataFrame:
     return r.select("ref_id", "year", (F.col("year") + move).cast("int").alias("shifted"))
 
 
-@query(
-    "SELECT sentence_id, CASE WHEN regexp_matches(l, '\\d+(\\.\\d+)?\\s*%|p [<=>]') THEN 'number' WHEN regexp_matches(l, 'accuracy|f1|recall|error rate|false alarm|baseline') THEN 'metric' WHEN regexp_matches(l, 'dataset|corpus|benchmark|registry|sampled') THEN 'dataset' WHEN regexp_matches(l, 'protocol|split|setup|rule') THEN 'setup' ELSE 'other' END AS claim_type FROM (SELECT sentence_id, lower(text) AS l FROM scan_sentences WHERE text IS NOT NULL)"
-)
+@query("SELECT sentence_id, CASE " + " ".join(f"WHEN regexp_matches(lower(masked), '{p}') THEN '{k}'" for k, p in S.C.CLAIM_TYPES.items()) + f" ELSE 'other' END AS claim_type FROM ({SQL['citations_masked']})")
 def claim_types(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    kind = F.when(low.rlike(r"\d+(\.\d+)?\s*%|p [<=>]"), "number").when(low.rlike("accuracy|f1|recall|error rate|false alarm|baseline"), "metric").when(low.rlike("dataset|corpus|benchmark|registry|sampled"), "dataset").when(low.rlike("protocol|split|setup|rule"), "setup").otherwise("other")
-    return table(spark, d, "scan_sentences").where("text IS NOT NULL").select("sentence_id", kind.alias("claim_type"))
+    return T.citations_masked(spark, d).select("sentence_id", S.C.claim_type(F.col("masked")).alias("claim_type"))
 
 
 @query("SELECT pdf_sha256, min(ref_index) AS first_index, max(ref_index) AS last_index, count(*) AS entries, count(DISTINCT ref_index) AS places FROM pdf_ref_entries GROUP BY pdf_sha256")

@@ -134,10 +134,7 @@ def tex_citations(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def report(checks: DataFrame) -> DataFrame:
-    """(line_no, line): a Markdown report of checks (ref_id, field, status), the worst first.
-
-    Line numbers come from counts per status, so only rows of one status and bucket are sorted together.
-    """
+    """(severity, line): a Markdown report of checks (ref_id, field, status) in order, the worst first."""
     order = F.when(F.col("status") == "FAIL", 0).when(F.col("status") == "WARN", 1).otherwise(2)
     line = F.format_string("- **%s** reference %d: %s", F.col("status"), F.col("ref_id"), F.col("field"))
     return checks.select(order.alias("severity"), "ref_id", "field", line.alias("line")).orderBy("severity", "ref_id", "field").select("severity", "line")
