@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as X
 from citeloom.operators import claims as C
 from citeloom.operators import references as R
+from citeloom.operators import retrieval
 from citeloom.plans import score_queries as S
 from citeloom.plans import text_queries as T
 from citeloom.plans.registry import SQL, query
@@ -222,3 +223,15 @@ STRETCH = 12
 def relevant_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a stretch of twelve words of a test item: what a search for the item should find."""
     return R.shared_stretches(table(spark, d, "eval_passages").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), STRETCH)
+
+
+FACTOR_SQL = "(1 + 0.25 * least(4, " + " + ".join(f"CASE WHEN contains(lower(text), '{c}') THEN 1 ELSE 0 END" for c in retrieval.CUES["finding"]) + ")) * CASE WHEN len(regexp_extract_all(text, '&')) >= 3 OR len(regexp_extract_all(text, '\\\\\\\\')) >= 2 THEN 0.3 WHEN contains(text, '\\begin{tab') OR len(regexp_extract_all(text, '[A-Za-z]{2,}')) < 0.5 * len(regexp_extract_all(text, '\\S+')) THEN 0.6 ELSE 1.0 END"
+CUED = S.BM25.replace("SELECT doc_id AS unit, regexp_extract_all", f"SELECT doc_id AS unit, {FACTOR_SQL} AS f, regexp_extract_all").replace("SELECT unit, w, len(w) AS size", "SELECT unit, f, w, len(w) AS size").replace("SELECT unit, size, unnest(w)", "SELECT unit, f, size, unnest(w)").replace("SELECT unit, size, term, count(*) AS tf", "SELECT unit, f, size, term, count(*) AS tf").replace("round(sum(ln(", "round(min(f) * sum(ln(")
+
+
+@query(CUED + " SELECT * FROM ranked")
+def bm25_with_cues(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 with more for passages that state findings and less for tables."""
+    q = table(spark, d, "eval_passages").select(F.col("item_id").alias("query"), "text")
+    units = table(spark, d, "documents").select(F.col("doc_id").alias("unit"), "text", retrieval.cue_factor(F.col("text"), "finding").alias("factor"))
+    return retrieval.bm25(q, units, 10)
