@@ -5,8 +5,9 @@ a vector of character n-grams weighted by rarity, hashed into a table of fixed l
 The join runs on the rarest part of the vectors, the grams with one letter left out: any two
 surnames that are one slip apart share one, so the candidates are complete without a cap.
 They are joined among the different surnames first, and forms then meet under a surname (or
-one a slip away) and a mark of the given name; organisations under a word, or one with a
-letter left out, and the initials of the others. Pairs whose parts contradict each other
+one a slip away) and a mark of the given name: two full ones under the name with a letter
+left out, others under an initial. Organisations meet under a word, or one with a letter
+left out, and the initials of the others. Pairs whose parts contradict each other
 get no link; the others have the mean of their cosine and the agreement of their parts.
 
 Each form's best links lead the search for connected groups, what else there is only
@@ -34,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.llm.slips import near, plain, slips
+from citeloom.llm.slips import gapped, near, plain, slips
 from citeloom.session import cut, drop
 
 GRAM = 3  # characters of an n-gram
@@ -251,13 +252,24 @@ def body_alike(a: Name, b: Name) -> float:
     return 1 - 0.05 * slips
 
 
+def after_initials(given: tuple[str, ...]) -> int:
+    """Where the first full name behind leading initials stands; 0 where there are no such initials or names."""
+    return next((k for k, w in enumerate(given) if len(w) > 1), 0)
+
+
 def alike(a: Name, b: Name) -> float:
-    """Likeness of two spellings from their parts: 0 where they cannot be one entity's."""
+    """Likeness of two spellings from their parts: 0 where they cannot be one entity's.
+
+    'Anna T. Brandt' may be a T. Brandt of the family Anna. Against a spelling whose order is
+    a guess as well ('Anna Torvik', 'Torvik Anna') that takes more than the T.: Brandt has to
+    agree with something.
+    """
     if a.org or b.org:
         return body_alike(a, b)
     best = 0.0
-    for sa, ga in a.readings:
-        for sb, gb in b.readings:
+    guess = len(a.readings) > 1 and len(b.readings) > 1
+    for k, (sa, ga) in enumerate(a.readings):
+        for m, (sb, gb) in enumerate(b.readings):
             if sa == sb:
                 s = 1.0
             elif min(len(sa), len(sb)) >= 5 and (near(sa, sb) or plain(sa) == plain(sb)):
@@ -266,6 +278,8 @@ def alike(a: Name, b: Name) -> float:
                 s = 0.9  # with and without its particle
             else:
                 continue
+            if guess and (k and 0 < len(gb) <= after_initials(ga) or m and 0 < len(ga) <= after_initials(gb)):
+                continue
             g = given_alike(ga, gb)
             if g:
                 best = max(best, s * g)
@@ -347,32 +361,46 @@ def surname_keys(name: Name) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def given_keys(given: tuple[str, ...]) -> set[str]:
-    """Marks of given names: those that given_alike() accepts share one.
+def part_keys(part: str, first: str = "") -> set[str]:
+    """Marks of a full given name: `=` the names it is compared as, `<` what may be short for it or it be short for."""
+    names = formal(part)
+    return {f"={first}{w}" for w in {*names, *map(plain, names)}} | ({f"<{first}{part}"} if len(part) > 2 else set())
+
 
-    Equal and short names share an initial; full names whose slip is in the first letters share the last.
+def given_keys(given: tuple[str, ...], order: str, guess: bool) -> set[str]:
+    """Marks of given names: those that given_alike() accepts meet in one (see tokens()).
+
+    Full names meet where they are a slip apart or begin with one another. An initial asks
+    (`?`) for those of all names (`!`). order: 'o' where the order of the spelling is open,
+    else 'f'. A guess, see alike(), asks for spellings of a fixed order by its initial, and
+    for the others by its second part too.
     """
-    first = formal(given[0])
-    out = {w[0] for w in first if w}
+    letters = {w[0] for w in formal(given[0]) if w}
+    out = {f"!{order}{i}" for i in letters}
     if len(given[0]) > 1:
-        joined = "".join(w for w in given if len(w) > 1)
-        for w in {*first, *map(plain, first), joined}:
-            out.update(f"${c}" for c in (w[-1:] if len(w) > 2 else w))
+        out |= part_keys(given[0]) | {"=" + "".join(w for w in given if len(w) > 1)}
+    else:
+        out |= {f"?f{i}" for i in letters} | (set() if guess else {f"?o{i}" for i in letters})
+    if order == "o" and len(given) > 1:
+        for i in letters:
+            out |= {f"!{i}|{w[0]}" for w in formal(given[1])} | (part_keys(given[1], f"{i}|") if len(given[1]) > 1 else {f"?{i}|{given[1]}"})
     return out
 
 
 def person_keys(name: Name) -> list[tuple[str, str]]:
     """(surname, mark of the given name) of each reading, with and without particles.
 
-    Any two persons' spellings that alike() accepts share a mark under one surname, or
+    Any two persons' spellings that alike() accepts meet in a mark under one surname, or
     under two of at least five letters that are one slip apart.
     """
     out: set[tuple[str, str]] = set()
-    for s, given in name.readings:
+    order = "o" if len(name.readings) > 1 else "f"
+    for k, (s, given) in enumerate(name.readings):
         if given:
             head, _, last = s.rpartition(" ")
             surnames = {s, last} if all(w in PARTICLES or w == last for w in head.split()) else {s}
-            out.update((x, g) for x in surnames for g in given_keys(given))
+            marks = given_keys(given, order, k > 0 and after_initials(given) > 0)
+            out.update((x, g) for x in surnames for g in marks)
     return sorted(out)
 
 
@@ -464,18 +492,41 @@ def gram_weights(forms: DataFrame) -> np.ndarray:
     return np.log1p(max(n[BUCKETS], 1.0) / np.maximum(n[:BUCKETS], COMMON))
 
 
+def tokens(persons: DataFrame) -> DataFrame:
+    """(id, surname, token, asks, holds) of persons (id, surname, mark): a token that asks meets the same one that holds.
+
+    `=w` is w and w with a letter left out, on both sides; `<w` asks for w and holds what w
+    begins with, from three letters on; `?i` asks, and `!i` holds.
+    """
+    word = F.col("word")
+    one = lambda token, asks, holds: F.struct(token.alias("token"), F.lit(asks).alias("asks"), F.lit(holds).alias("holds"))
+    starts = F.transform(F.sequence(F.lit(3), F.greatest(F.length("word") - 2, F.lit(3))), lambda n: one(F.xxhash64(F.lit("<"), F.left(word, n)), False, True))
+    kinds = {
+        "=": F.transform(gapped("word"), lambda x: one(x, True, True)),
+        "<": F.concat(F.array(one(F.xxhash64(F.lit("<"), word), True, False)), starts),
+        "?": F.array(one(F.xxhash64(F.lit("?"), word), True, False)),
+    }
+    of = F.array(one(F.xxhash64(F.lit("?"), word), False, True))
+    for kind, marks in kinds.items():
+        of = F.when(F.left("mark", F.lit(1)) == kind, marks).otherwise(of)
+    each = persons.withColumn("word", F.expr("substring(mark, 2)")).select("id", "surname", F.explode(of).alias("t"))
+    return each.select("id", "surname", "t.token", "t.asks", "t.holds")
+
+
 def links(forms: DataFrame, weight: np.ndarray) -> DataFrame:
-    """(a, b, likeness, same, whole_a, whole_b), a < b: all pairs of forms that share a mark and agree.
+    """(a, b, likeness, same, whole_a, whole_b), a < b: all pairs of forms that meet in a mark and agree.
 
     forms: (id, rep, org, whole, person, body). same: whether they share a surname.
     """
-    persons = cut(forms.select("id", F.explode("person").alias("p")).select("id", "p.surname", "p.mark"))
+    persons = cut(tokens(forms.select("id", F.explode("person").alias("p")).select("id", "p.surname", "p.mark")))
     words = persons.select(F.col("surname").alias("word")).distinct()
-    moved = slips(words, words).where("a < b").join(persons.withColumnRenamed("surname", "a"), "a").select(F.col("b").alias("surname"), "mark", "id")
-    key = F.xxhash64("surname", "mark").alias("key")
-    stay = persons.select(key, F.col("id").alias("y"))
-    here, there = persons.select(key, F.col("id").alias("x"), F.lit(True).alias("here")), moved.select(key, F.col("id").alias("x"), F.lit(False).alias("here"))
-    of_persons = here.unionByName(there).join(stay, "key").where("x < y OR x > y AND NOT here").select("x", "y")
+    asking = persons.where("asks")
+    # what both asks and holds meets in either direction, so one is enough
+    moved = slips(words, words).join(asking.withColumnRenamed("surname", "a"), "a").where("a < b OR NOT holds").select(F.col("b").alias("surname"), "token", "id")
+    key = F.xxhash64("surname", "token").alias("key")
+    stay = persons.where("holds").select(key, F.col("id").alias("y"))
+    here, there = asking.select(key, F.col("id").alias("x"), F.col("holds").alias("once")), moved.select(key, F.col("id").alias("x"), F.lit(False).alias("once"))
+    of_persons = here.unionByName(there).join(stay, "key").where("x < y OR x > y AND NOT once").select("x", "y")
     bodies = forms.select("id", "org", F.explode("body").alias("mark")).select("id", "org", F.xxhash64("mark").alias("key"))
     # marks of words count only where one of the two is an organisation's
     of_bodies = bodies.where("org").select("key", F.col("id").alias("x")).join(bodies.select("key", F.col("id").alias("y")), "key").where("x <> y").select("x", "y")
@@ -562,10 +613,13 @@ def merge_rounds(pairs: DataFrame, least: float = MERGE) -> DataFrame:
 def linkage(pairs: DataFrame, alone: int = ALONE) -> DataFrame:
     """(id, cluster) of all ids in pairs (a, b, likeness) by average linkage.
 
+    Clusters merge by an average, so never without a link of at least MERGE between them:
+    groups are what such links connect, and weaker links count inside a group only.
     Groups of at most `alone` links are clustered by one task each, larger ones in rounds.
     """
-    roots = components(pairs)
-    rooted = pairs.join(roots.select(F.col("id").alias("a"), "root"), "a").select("root", "a", "b", "likeness")
+    roots = cut(components(pairs.where(F.col("likeness") >= MERGE)))
+    weak = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(roots, "id", "left_anti").select("id", F.col("id").alias("cluster"))
+    rooted = pairs.join(roots.select(F.col("id").alias("a"), "root"), "a").join(roots.select(F.col("id").alias("b"), "root"), ["b", "root"]).select("root", "a", "b", "likeness")
     large = cut(rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > alone).select("root"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -582,8 +636,8 @@ def linkage(pairs: DataFrame, alone: int = ALONE) -> DataFrame:
         out = list(average_linkage(held).items())
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["id", "cluster"])
 
-    small = rooted.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root")
-    done = small.mapInArrow(run, "id long, cluster long")
+    small = rooted.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root", "a", "b")
+    done = small.mapInArrow(run, "id long, cluster long").unionByName(weak)
     if not large.limit(1).count():
         return done
     return done.unionByName(merge_rounds(rooted.join(large, "root", "left_semi")))

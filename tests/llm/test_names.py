@@ -185,3 +185,41 @@ def test_short_and_given_surnames(spark, rows):
     got = rows(N.found(*tables(spark, [*(n for pair in SHORT for n in pair), *given])))
     assert {tuple(sorted(p)) for p in SHORT} <= set(got)
     assert not {n for p in got for n in p} & set(given)
+
+
+GUESSES = [("Victoria V. Doszofrin", "Victoria Vmoubova"), ("Quentin K. Deetadark", "Kraslabovu Quentin"), ("Kofi D. Stodelde", "Kofi Dradionzi")]
+KEPT = [("Torvik J. Robert", "J. Robert Torvik"), ("Torvik J. Robert", "Torvik, John"), ("Torvik J. Robert", "John R. Torvik"), ("Torvik J. Robert", "Torvik J"), ("Torvik Bob", "Torvik Robert")]
+
+
+def test_initial_between_given_name_and_surname():
+    """The T. of 'Anna T. Brandt' doesn't make it a spelling of 'Anna Torvik'."""
+    for pairs, linked in ((GUESSES, False), (KEPT, True)):
+        for a, b in pairs:
+            assert (N.alike(N.Name(a), N.Name(b)) > 0) == linked == (N.alike(N.Name(b), N.Name(a)) > 0), (a, b)
+
+
+def test_links_of_open_orders(spark):
+    rng = random.Random(5)
+    words = ["Torvik", "Torvk", "Robert", "Bob", "Rob", "Jona", "Jonathan", "Li-Wei", "Liwei", "Ann", "Anna", "Ioan", "Tor", "van"]
+    word, letter = lambda: rng.choice(words), lambda: rng.choice("TRJLA")
+    shapes = [lambda: f"{word()} {word()}", lambda: f"{word()} {letter()}. {word()}", lambda: f"{word()} {letter()}. {letter()}. {word()}", lambda: f"{word()}, {word()}", lambda: f"{word()}, {letter()}. {word()}", lambda: f"{letter()}. {word()}", lambda: f"{word()} {word()} {word()}", lambda: f"{word()} {word()} {letter()}"]
+    got, want = all_links(spark, {rng.choice(shapes)() for _ in range(160)})
+    assert len(want) > 150 and got.keys() == want.keys()
+
+
+def test_shared_given_names_do_not_meet(spark):
+    """People of one given name are compared only where more agrees: their pairs grow with the square of the table."""
+    rng = random.Random(1)
+    people = [f"Victoria {rng.choice('ABDGKLMNPRSTV')}. {''.join(rng.choice('bdgklmnprstvz') + rng.choice('aeiou') for _ in range(5)).title()}" for _ in range(150)]
+    persons = spark.createDataFrame([(k, *p) for k, x in enumerate(people) for p in N.person_keys(N.Name(x))], "id long, surname string, mark string")
+    t = N.tokens(persons)
+    met = t.where("asks").alias("x").join(t.where("holds").alias("y"), ["surname", "token"]).where("x.id <> y.id").select("x.id", "y.id").distinct().count()
+    assert met < 150
+    got, want = all_links(spark, set(people))
+    assert got.keys() == want.keys() and not got
+
+
+def test_weak_links_join_no_groups(spark):
+    links = [(1, 2, 0.9), (2, 3, 0.4), (4, 5, 0.45), (6, 7, 0.6), (7, 8, 0.6), (6, 8, 0.3)]
+    df = spark.createDataFrame(links, "a long, b long, likeness double")
+    assert grouped(N.linkage(df).collect()) == grouped(N.linkage(df, alone=1).collect()) == grouped(N.average_linkage(links).items())
