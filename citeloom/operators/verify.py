@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as X
 from citeloom.functions.similarity import jaro_winkler
 from citeloom.operators.references import title_status, worth
+from citeloom.session import cut
 
 SEARCH_LEAST = 0.60
 #: likeness of titles at which other authors are no objection
 SURE_TITLE = 0.85
+#: works with a word from which it is frequent, and how many frequent words there are at most
+OFTEN, MOST_FREQUENT = 64, 1 << 15
+#: shares of the larger side of a join of patterns
+SHARES = 16
 # Registries that a search asks first, in this order.
 PRIORITY = ("semantic_scholar", "openalex", "crossref", "arxiv", "pubmed", "dblp", "europe_pmc", "datacite")
 # Points of a flag at full confidence.
@@ -38,45 +43,102 @@ def whole_year(c: Column | str) -> Column:
     return F.when(c.rlike(r"^\s*\d{1,4}\s*$"), F.trim(c).cast("int"))
 
 
-def search(refs: DataFrame, works: DataFrame) -> DataFrame:
+def search(refs: DataFrame, works: DataFrame, often: int = OFTEN, longs: int = 8) -> DataFrame:
     """(ref_id, registry, work_id, likeness): of each registry the work most like a reference's title.
 
     refs: (ref_id, title, authors, year). works: (work_id, registry, title, authors, year).
     Hits have a token likeness of SEARCH_LEAST. Where both first surnames are known and
-    differ, a hit needs SURE_TITLE and years less than two apart. That rule is part of the
-    join: titles meet under rare words that likeness SURE_TITLE makes them share, or under
-    such words for SEARCH_LEAST and one surname, or where a side has no authors. Ties go to
-    the smaller work_id. Rows without words in the title match nothing.
+    differ, a hit needs SURE_TITLE and years less than two apart. Ties go to the smaller
+    work_id. Rows without words in the title match nothing.
+
+    Titles of equal words, first surname and year are one form on either side. Words that
+    fewer than `often` works have bring forms together themselves, one surname those of a
+    surname. All other hits share frequent words only, so there a title counts as the pattern
+    of its frequent words and its number of words: patterns are few, and for each one the
+    smallest work_id of a registry speaks. Likeness of patterns leaves rare words out, so it
+    is the titles' own or less, and where it is less, the rare words bring the titles together.
     """
     keys = [X.title_key("title").alias("title"), first_surname("authors").alias("first"), whole_year("year").alias("y")]
-    a = refs.select("ref_id", *keys).where("title <> ''").withColumn("form", F.xxhash64("title", "first", "y"))
-    b = works.select("work_id", "registry", *keys).where("title <> ''")
-    forms = a.groupBy("form").agg(*(F.first(c).alias(c) for c in ("title", "first", "y"))).select(F.lit(0).alias("side"), F.col("form").alias("id"), "title", "first", "y")
-    known = b.select(F.lit(1).alias("side"), F.col("work_id").alias("id"), "title", "first", "y")
-    every = forms.unionByName(known).withColumn("words", X.tokens("title"))
-    words = every.select("side", "id", F.explode("words").alias("word"))
-    count = words.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = words.join(count, "word").groupBy("side", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x.word).alias("rare"))
-    full = every.drop("words").join(ranked, ["side", "id"])
-    n = F.size("rare")
-    marks = lambda least: F.slice("rare", F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))
-
-    def side(k: int, extra: Column, least: float, where: str = "true") -> DataFrame:
-        return full.where((F.col("side") == k) & F.expr(where)).select("id", extra.alias("extra"), F.explode(marks(least)).alias("word"))
-
-    def meet(extra: Column, least: float, left: str = "true", right: str = "true") -> DataFrame:
-        return side(0, extra, least, left).withColumnRenamed("id", "form").join(side(1, extra, least, right).withColumnRenamed("id", "work_id"), ["extra", "word"]).select("form", "work_id")
-
-    none = F.lit("")
-    met = meet(none, SURE_TITLE).unionByName(meet(F.col("first"), SEARCH_LEAST, "first IS NOT NULL", "first IS NOT NULL"))
-    met = met.unionByName(meet(none, SEARCH_LEAST, "first IS NULL")).unionByName(meet(none, SEARCH_LEAST, "first IS NOT NULL", "first IS NULL")).distinct()
-    left = full.where("side = 0").select(F.col("id").alias("form"), F.col("rare").alias("ra"), F.col("first").alias("fa"), F.col("y").alias("ya"))
-    right = full.where("side = 1").select(F.col("id").alias("work_id"), F.col("rare").alias("rb"), F.col("first").alias("fb"), F.col("y").alias("yb"))
-    both = met.join(left, "form").join(right, "work_id").withColumn("likeness", X.jaccard("ra", "rb"))
-    good = both.where((F.col("likeness") >= SEARCH_LEAST) & plausible(F.col("fa"), F.col("fb"), F.col("ya"), F.col("yb"), F.col("likeness"))).select("form", "work_id", "likeness")
-    rated = good.join(b.select("work_id", "registry"), "work_id").groupBy("form", "registry").agg(F.max(F.struct("likeness", (-F.col("work_id")).alias("w"))).alias("x"))
-    best = rated.select("form", "registry", (-F.col("x.w")).alias("work_id"), F.round("x.likeness", 6).alias("likeness"))
-    return a.select("ref_id", "form").join(best, "form").select("ref_id", "registry", "work_id", "likeness")
+    words = F.array_sort(F.array_distinct(F.split("title", " "))).alias("words")
+    a = cut(refs.select("ref_id", *keys).where("title <> ''").select("ref_id", words, "first", "y").withColumn("id", F.xxhash64("words", "first", "y")))
+    forms = a.groupBy("id").agg(*(F.first(c).alias(c) for c in ("words", "first", "y")))
+    b = cut(works.select("work_id", "registry", *keys).where("title <> ''").groupBy("registry", words, "first", "y").agg(F.min("work_id").alias("id")))
+    count = cut(b.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    # so many words at most are frequent, at any size
+    least = max(often, (count.agg(F.sum("n")).first()[0] or 0) // MOST_FREQUENT)
+    frequent = cut(count.where(F.col("n") >= least).select("word", (F.row_number().over(W.orderBy("n", "word")) - 1).alias("k")))
+    size = frequent.count()
+
+    def coded(side: DataFrame, *kept: str) -> DataFrame:
+        each = side.select("id", *kept, F.explode("words").alias("word")).join(frequent, "word", "left")
+        g = each.groupBy("id", *kept).agg(F.array_sort(F.collect_list("k")).alias("ids"), F.collect_list(F.when(F.col("k").isNull(), F.col("word"))).alias("rare"))
+        return cut(g.withColumn("n", F.size("ids") + F.size("rare")))
+
+    r, w = coded(forms, "first", "y"), coded(b, "registry", "first", "y")
+    # titles of one rare word, or of one surname and a word that SEARCH_LEAST makes them share
+    met = r.select(F.col("id").alias("form"), F.explode("rare").alias("word")).join(w.select(F.col("id").alias("work_id"), F.explode("rare").alias("word")), "word").select("form", "work_id")
+    named = lambda side, name: side.where("first IS NOT NULL").select(F.col("id").alias(name), "first", F.explode(_marks(SEARCH_LEAST)).alias("mark"))
+    met = met.unionByName(named(r, "form").join(named(w, "work_id"), ["first", "mark"]).select("form", "work_id")).distinct()
+    left = r.select(F.col("id").alias("form"), F.col("ids").alias("ia"), F.col("rare").alias("ra"), F.col("n").alias("na"), F.col("first").alias("fa"), F.col("y").alias("ya"))
+    right = w.select(F.col("id").alias("work_id"), "registry", F.col("ids").alias("ib"), F.col("rare").alias("rb"), F.col("n").alias("nb"), F.col("first").alias("fb"), F.col("y").alias("yb"))
+    common = F.size(F.array_intersect("ia", "ib")) + F.size(F.array_intersect("ra", "rb"))
+    both = met.join(left, "form").join(right, "work_id").withColumn("likeness", common / (F.col("na") + F.col("nb") - common))
+    rated = both.where((F.col("likeness") >= SEARCH_LEAST) & plausible(F.col("fa"), F.col("fb"), F.col("ya"), F.col("yb"), F.col("likeness"))).select("form", "registry", "likeness", "work_id")
+
+    # patterns: one side without authors, or near years and a sure title
+    r = r.withColumn("p", F.xxhash64("ids", "n"))
+    no, some = r.where("first IS NULL"), r.where("first IS NOT NULL")
+    of = lambda side, *kept: side.groupBy("ids", "n", "registry", *kept).agg(F.min("id").alias("work_id"))
+    bits = (min(longs, size // 64 + 1), size <= 64 * longs)
+    loose = _alike(no.select("p", "ids", "n").distinct(), of(w), SEARCH_LEAST, bits, many_right=True)
+    closed = _alike(some.select("p", "ids", "n").distinct(), of(w.where("first IS NULL")), SEARCH_LEAST, bits)
+    sure = _alike(some.select("p", "y", "ids", "n").distinct(), of(w, "y"), SURE_TITLE, bits, years=True)
+    as_form = lambda side, hits, on: side.select(F.col("id").alias("form"), "p", "y").join(hits, on).select("form", "registry", "likeness", "work_id")
+    near = sure.withColumnRenamed("p", "q").withColumnRenamed("y", "z")
+    rated = rated.unionByName(as_form(no, loose, "p")).unionByName(as_form(some, closed, "p")).unionByName(as_form(some, near, (F.col("p") == F.col("q")) & F.col("y").eqNullSafe(F.col("z"))))
+    best = rated.groupBy("form", "registry").agg(F.max(F.struct("likeness", (-F.col("work_id")).alias("w"))).alias("x"))
+    best = best.select("form", "registry", (-F.col("x.w")).alias("work_id"), F.round("x.likeness", 6).alias("likeness"))
+    return a.select("ref_id", F.col("id").alias("form")).join(best, "form").select("ref_id", "registry", "work_id", "likeness")
+
+
+def _marks(least: float) -> Column:
+    """The rarest frequent words, as many that titles of that likeness and no common rare word share one of them."""
+    need = F.ceil(F.lit(least) * F.col("n") - 1e-9)
+    return F.slice("ids", F.lit(1), F.greatest(F.size("ids") - need + 1, F.lit(0)).cast("int"))
+
+
+def _alike(left: DataFrame, right: DataFrame, least: float, bits: tuple[int, bool], many_right: bool = False, years: bool = False) -> DataFrame:
+    """(p, registry, likeness, work_id), with years also y: patterns with a likeness of least, the smallest work_id for each likeness.
+
+    left: (p, ids, n); right: (ids, n, registry, work_id); with years both have y, and years
+    two or more apart do not meet. bits: the longs that hold a pattern, and whether each word
+    has its own bit; else the bits tell only the most that may be common. The smaller side is
+    copied to SHARES shares of the other, for few words lead many patterns together.
+    """
+    longs, own = bits
+    # so many words may be on one side only; no rare word is on both
+    spare = F.floor(F.col("n") * ((1 - least) / least) + 1e-9).cast("int")
+    rare = F.col("n") - F.size("ids")
+    bit = lambda j: F.expr(f"aggregate(ids, 0L, (a, x) -> CASE WHEN (x div 64) % {longs} = {j} THEN a | shiftleft(1L, CAST(x % 64 AS INT)) ELSE a END)").alias(f"s{j}")
+    all_shares, one_share = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))), F.pmod(F.xxhash64("ids", "n"), F.lit(SHARES)).cast("int")
+
+    def side(df: DataFrame, budget: Column, share: Column, tag: str) -> DataFrame:
+        x = df.where(rare <= spare).select("*", *(bit(j) for j in range(longs)), budget.alias("rares")).withColumn("mark", F.explode(_marks(least))).withColumn("share", share)
+        x = x.select("mark", "rares", "share", *(F.col(c).alias(f"{c}{tag}") for c in (*df.columns, *(f"s{j}" for j in range(longs)))))
+        return x.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mark", "rares", "share")
+
+    x = side(left, F.explode(F.sequence(F.lit(0), spare - rare)), all_shares if many_right else one_share, "_a")
+    y = side(right, rare, one_share if many_right else all_shares, "_b")
+    ones = lambda f: sum((F.bit_count(f(j)) for j in range(1, longs)), F.bit_count(f(0)))
+    most = ones(lambda j: F.col(f"s{j}_a").bitwiseAND(F.col(f"s{j}_b")))
+    if not own:
+        most = most + F.size("ids_a") - ones(lambda j: F.col(f"s{j}_a"))
+    like = lambda c: c / (F.col("n_a") + F.col("n_b") - c)
+    near = F.coalesce(F.abs(F.col("y_a") - F.col("y_b")) < 2, F.lit(True)) if years else F.lit(True)
+    met = x.hint("shuffle_hash").join(y, ["mark", "rares", "share"]) if many_right else x.join(y.hint("shuffle_hash"), ["mark", "rares", "share"])
+    met = met.where((like(most) >= least) & near).withColumn("likeness", like(most if own else F.size(F.array_intersect("ids_a", "ids_b")))).where(F.col("likeness") >= least)
+    kept = [F.col("p_a").alias("p"), *([F.col("y_a").alias("y")] if years else []), F.col("registry_b").alias("registry")]
+    return met.groupBy(*kept, "likeness").agg(F.min("work_id_b").alias("work_id"))
 
 
 def plausible(first_a: Column, first_b: Column, year_a: Column, year_b: Column, likeness: Column) -> Column:

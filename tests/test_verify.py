@@ -26,6 +26,62 @@ def test_search(spark):
     assert found(spark, [(None, None, None), ("...", [], "")], works) == found(spark, [], works) == found(spark, works[:0], []) == []
 
 
+def every_pair(refs, works):
+    """The search by comparing all pairs."""
+    best = {}
+    for (r, t, f, y), (w, g, u, h, z) in itertools.product(refs, works):
+        a, b = set(t.split()), set(u.split())
+        like = len(a & b) / len(a | b) if a and b else 0
+        near = not y or not z or abs(int(y) - int(z)) < 2
+        if like >= 0.6 and (not f or not h or f == h or (near and like >= 0.85)):
+            best[r, g] = max(best.get((r, g), (0, 0)), (like, -w))
+    return sorted((r, g, -w, round(like, 6)) for (r, g), (like, w) in best.items())
+
+
+def titles(seed, words, n=120):
+    r = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(words)]
+    bases = [[r.choice(vocabulary) for _ in range(r.choice((1, 3, 5, 8, 9, 10, 14, 20)))] for _ in range(12)]
+
+    def title():
+        t = list(r.choice(bases))
+        for _ in range(r.choice((0, 0, 0, 1, 1, 2, 3))):
+            t[r.randrange(len(t))] = r.choice(vocabulary)
+        return " ".join(t[: r.choice((20, 20, 20, 7))]) if r.random() < 0.97 else ""
+
+    side = lambda *first: [(*first, title(), *r.choice(((None,), (["kun"],), (["kun"],), (["nil"],), (["oth"],))), r.choice((None, "2001", "2001", "2002", "2003", "2005"))) for _ in range(n)]
+    refs, works = [(k, *x) for k, x in enumerate(side())], [(1000 + k, r.choice("pq"), *x) for k, x in enumerate(side())]
+    return refs, works
+
+
+@pytest.mark.parametrize(("seed", "words", "often", "longs"), [(1, 40, 2, 1), (2, 25, 4, 8), (3, 25, 64, 8), (4, 150, 2, 1), (5, 16, 3, 2)])
+def test_search_against_all_pairs(spark, seed, words, often, longs):
+    """Frequent and rare words, patterns with and without a bit for each word."""
+    refs, works = titles(seed, words)
+    a = spark.createDataFrame(refs, "ref_id long, title string, authors array<string>, year string")
+    b = spark.createDataFrame(works, "work_id long, registry string, title string, authors array<string>, year string")
+    assert sorted(tuple(x) for x in V.search(a, b, often, longs).collect()) == every_pair(refs, works)
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_search_forms_no_pairs_of_frequent_words(spark):
+    """Titles that differ in one name only are not compared with one another: 1,200 x 1,200 pairs would be 1,440,000 rows."""
+    a = spark.range(1200).selectExpr("id AS ref_id", "concat('overview of the name', id, ' shared task on ranking') AS title", "array(concat('a', id)) AS authors", "'2001' AS year")
+    b = a.selectExpr("ref_id + 5000 AS work_id", "'p' AS registry", "title", "array(concat('b', ref_id)) AS authors", "year")
+    before = shuffled(spark)
+    hits = V.search(a, b).collect()
+    assert len(hits) == 1200 and all(h.work_id == h.ref_id + 5000 for h in hits)
+    assert shuffled(spark) - before < 200_000
+
+
 def test_override(spark):
     df = spark.createDataFrame([("low", 0.01, 60.0), ("critical", 0.9, 60.0), ("low", 0.01, None), ("elevated", 0.1, 40.0)], "t string, p double, s double")
     tier, p = V.kill_shot(F.col("t"), F.col("p"), F.col("s"))
