@@ -35,16 +35,15 @@ def tokens(c: Column | str) -> Column:
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
     """Common over all elements of two arrays without repeats; 0 where both are empty."""
-    common = F.size(F.array_intersect(a, b))
-    every = F.size(F.array_union(a, b))
+    common = F.array_size(F.array_intersect(a, b))
+    every = F.array_size(a) + F.array_size(b) - common
     return F.when(every > 0, common / every).otherwise(F.lit(0.0))
 
 
 def surname(name: Column | str) -> Column:
     """The last word before a comma, else the last word."""
     name = F.col(name) if isinstance(name, str) else name
-    part = F.when(F.instr(name, ",") > 0, F.split_part(name, F.lit(","), F.lit(1))).otherwise(name)
-    return F.element_at(F.split(squeeze(part), " "), -1)
+    return F.element_at(F.split(squeeze(F.split_part(name, F.lit(","), F.lit(1))), " "), -1)
 
 
 # letters with an accent and the plain letter, by rule
@@ -130,8 +129,9 @@ VENUES = (
 
 def venue_name(c: Column | str, table: tuple[tuple[str, str], ...] = VENUES) -> Column:
     """Venue in lower case, with a known abbreviation at its start written out."""
-    low = squeeze(F.lower(c))
-    return reduce(lambda rest, kv: F.when(low.startswith(kv[0]), F.lit(kv[1])).otherwise(rest), reversed(table), low)
+    full = lambda low: reduce(lambda rest, kv: F.when(low.startswith(kv[0]), F.lit(kv[1])).otherwise(rest), reversed(table), low)
+    # a variable, or each abbreviation would bring the venue into its form again
+    return F.get(F.transform(F.array(squeeze(F.lower(c))), full), F.lit(0))
 
 
 def strip_latex(c: Column | str) -> Column:

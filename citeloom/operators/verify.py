@@ -161,12 +161,11 @@ def years_status(typed: Column, known: Column, by_id: Column) -> Column:
     return F.when(X.present(typed).isNull() | X.present(known).isNull(), None).when(d.isNull() | (d == 1), "WARN").when(d == 0, "OK").when((d == 2) & ~by_id, "WARN").otherwise("FAIL")
 
 
-def venues_status(typed: Column, known: Column) -> Column:
-    """OK for alike, contained or both arXiv's venues, WARN otherwise; null where one is missing."""
-    a, b = X.venue_name(typed), X.venue_name(known)
-    preprint = (a.contains("arxiv") | a.contains("corr")) & (b.contains("arxiv") | b.contains("corr"))
-    inside = (F.length(a) > 3) & (F.length(b) > 3) & (a.contains(b) | b.contains(a))
-    return F.when(X.present(typed).isNull() | X.present(known).isNull(), None).when(preprint | inside | (X.jaccard(X.tokens(a), X.tokens(b)) >= 0.5), "OK").otherwise("WARN")
+def venues_status(typed: Column, known: Column, likeness: Column) -> Column:
+    """OK for alike, contained or both arXiv's venues, WARN otherwise; null where one is missing. Of venue_name of both."""
+    preprint = (typed.contains("arxiv") | typed.contains("corr")) & (known.contains("arxiv") | known.contains("corr"))
+    inside = (F.length(typed) > 3) & (F.length(known) > 3) & (typed.contains(known) | known.contains(typed))
+    return F.when(typed.isNull() | known.isNull(), None).when(preprint | inside | (likeness >= 0.5), "OK").otherwise("WARN")
 
 
 def source_matches(refs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -174,21 +173,22 @@ def source_matches(refs: DataFrame, hits: DataFrame) -> DataFrame:
 
     refs: (ref_id, title, authors, year, venue). hits: (ref_id, registry, by_id, etitle,
     eauthors, eyear, evenue, retracted). A field that a side lacks has null status; a hit by
-    identifier that is not plausible is left out.
+    identifier that is not plausible is left out. What is read from a text is a column of its
+    own, so it is read once.
     """
-    m = hits.join(refs, "ref_id")
-    ta, tb = X.tokens("title"), X.tokens("etitle")
-    m = m.withColumn("title_score", F.when(X.present("title").isNotNull() & X.present("etitle").isNotNull(), X.jaccard(ta, tb)))
-    m = m.withColumn("fa", first_surname("authors")).withColumn("fb", first_surname("eauthors"))
-    m = m.where(plausible(F.col("fa"), F.col("fb"), whole_year("year"), whole_year("eyear"), F.coalesce("title_score", F.lit(0.0))))
+    m = hits.join(refs, "ref_id").withColumns({"fa": first_surname("authors"), "fb": first_surname("eauthors"), "ta": X.tokens("title"), "tb": X.tokens("etitle"), "ya": whole_year("year"), "yb": whole_year("eyear")})
+    m = m.withColumn("title_score", F.when(X.present("title").isNotNull() & X.present("etitle").isNotNull(), X.jaccard("ta", "tb")))
+    m = m.where(plausible(F.col("fa"), F.col("fb"), F.col("ya"), F.col("yb"), F.coalesce("title_score", F.lit(0.0))))
     m = m.withColumn("author_score", F.when(F.col("fa") == F.col("fb"), 1.0).otherwise(F.coalesce(jaro_winkler("fa", "fb"), F.lit(0.0))))
+    given = lambda c: F.when(X.present(c).isNotNull(), X.venue_name(c))
+    m = m.withColumns({"va": given("venue"), "vb": given("evenue"), "pa": X.tokens("venue"), "pb": X.tokens("evenue")})
+    m = m.withColumns({"names_alike": X.jaccard(X.tokens("va"), X.tokens("vb")), "venues_alike": X.jaccard("pa", "pb")})
     author = F.when(F.col("fa").isNull() | F.col("fb").isNull(), F.when((F.size("authors") > 0) & (F.size("eauthors") > 0), "WARN")).otherwise(authors_status(F.col("authors"), F.col("eauthors"), F.col("author_score")))
-    status = {"title": F.when(F.col("title_score").isNotNull(), title_status(F.col("title_score"))), "authors": author, "year": years_status(F.col("year"), F.col("eyear"), F.col("by_id")), "venue": venues_status(F.col("venue"), F.col("evenue"))}
+    status = {"title": F.when(F.col("title_score").isNotNull(), title_status(F.col("title_score"))), "authors": author, "year": years_status(F.col("year"), F.col("eyear"), F.col("by_id")), "venue": venues_status(F.col("va"), F.col("vb"), F.col("names_alike"))}
     m = m.select("*", *(s.alias(f"{k}_status") for k, s in status.items()))
-    away = F.abs(whole_year("year") - whole_year("eyear"))
+    away = F.abs(F.col("ya") - F.col("yb"))
     year_score = F.when(F.col("year_status").isNotNull(), F.coalesce(F.greatest(F.lit(0.0), 1 - 0.5 * away), F.lit(0.5)))
-    alike = X.jaccard(X.tokens("venue"), X.tokens("evenue"))
-    venue_score = F.when(F.col("venue_status") == "OK", F.greatest(alike, F.lit(0.8))).when(F.col("venue_status").isNotNull(), alike)
+    venue_score = F.when(F.col("venue_status") == "OK", F.greatest("venues_alike", F.lit(0.8))).when(F.col("venue_status").isNotNull(), F.col("venues_alike"))
     worths = F.array_compact(F.array(*(worth(f"{k}_status") for k in status)))
     score = F.when(F.size(worths) > 0, F.aggregate(worths, F.lit(0.0), lambda a, x: a + x) / F.size(worths)).otherwise(0.0)
     sure = F.coalesce(F.col("title_status") == "OK", F.lit(False)) & F.coalesce(F.col("authors_status").isin("OK", "WARN"), F.lit(False))
