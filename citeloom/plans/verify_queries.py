@@ -10,7 +10,7 @@ from citeloom.operators import verify as V
 from citeloom.plans import score_queries as S
 from citeloom.plans import text_queries as T
 from citeloom.plans.registry import SQL, query
-from citeloom.session import table
+from citeloom.session import cut, table
 
 TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 JAC = "(CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / len(list_distinct(list_concat({0}, {1}))) END)"
@@ -70,11 +70,12 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matches_of(spark: SparkSession, d: str) -> DataFrame:
+    """The source matches as a table between steps: most queries read them several times."""
     refs, works = references(spark, d), table(spark, d, "registry_works")
     found = V.search(refs, works).join(works.select("work_id", F.col("title").alias("etitle"), F.col("authors").alias("eauthors"), F.col("year").alias("eyear"), F.col("venue").alias("evenue")), "work_id")
     searched = found.select("ref_id", "registry", F.lit(False).alias("by_id"), "etitle", "eauthors", "eyear", "evenue", F.lit(False).alias("retracted"))
     known = refs.select("ref_id", F.lower(X.clean_doi("doi")).alias("d")).join(answers(spark, d), "d").select("ref_id", F.lit("crossref").alias("registry"), F.lit(True).alias("by_id"), "etitle", "eauthors", "eyear", "evenue", "retracted")
-    return V.source_matches(refs.select("ref_id", "title", "authors", "year", "venue"), searched.unionByName(known))
+    return cut(V.source_matches(refs.select("ref_id", "title", "authors", "year", "venue"), searched.unionByName(known)))
 
 
 @query(SEARCH + " SELECT * FROM best")

@@ -82,6 +82,13 @@ def test_search_forms_no_pairs_of_frequent_words(spark):
     assert shuffled(spark) - before < 200_000
 
 
+def test_matches_are_read_not_made_again(spark):
+    """What several aggregates read is a table, so its plan holds no join."""
+    from citeloom.plans import verify_queries as Q
+
+    assert "Join" not in Q.matches_of(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_override(spark):
     df = spark.createDataFrame([("low", 0.01, 60.0), ("critical", 0.9, 60.0), ("low", 0.01, None), ("elevated", 0.1, 40.0)], "t string, p double, s double")
     tier, p = V.kill_shot(F.col("t"), F.col("p"), F.col("s"))
