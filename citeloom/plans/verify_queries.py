@@ -199,7 +199,7 @@ def escalated(spark: SparkSession, d: str) -> DataFrame:
     """References that a closer look is worth: a middling composite score, suspicion, or sources of which none confirms."""
     m = matches_of(spark, d)
     middling = V.composite(m).where("overall BETWEEN 0.55 AND 0.85").select("ref_id")
-    doubted = V.hallucination_scores(flags_of(spark, d)).where("score > 30").select("ref_id")
+    doubted = V.hallucination_scores(V.hallucination_flags(references(spark, d), m, S.LAST_YEAR)).where("score > 30").select("ref_id")
     loose = m.groupBy("ref_id").agg(F.bool_or("confirmed").alias("c")).where("NOT c").select("ref_id")
     return middling.unionByName(doubted).unionByName(loose).distinct()
 

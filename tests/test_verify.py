@@ -89,6 +89,16 @@ def test_matches_are_read_not_made_again(spark):
     assert "Join" not in Q.matches_of(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_matches_are_made_once(spark, monkeypatch):
+    from citeloom.plans import verify_queries as Q
+
+    made = []
+    real = Q.matches_of
+    monkeypatch.setattr(Q, "matches_of", lambda *x: made.append(1) or real(*x))
+    Q.escalated(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+
+
 def test_override(spark):
     df = spark.createDataFrame([("low", 0.01, 60.0), ("critical", 0.9, 60.0), ("low", 0.01, None), ("elevated", 0.1, 40.0)], "t string, p double, s double")
     tier, p = V.kill_shot(F.col("t"), F.col("p"), F.col("s"))
